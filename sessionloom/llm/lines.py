@@ -1,10 +1,15 @@
 """Line dedup by an exact set-similarity join, in DataFrame operations only.
 
-A line's tokens are its distinct word shingles (``K`` words, lower-cased). Tokens are put in one global order by rarity
-(the counts of all tokens over all lines, in hashed cells), then by hash. Two sets of Jaccard similarity
-``PERCENT``/100 or more share a token in their prefixes of n - ceil(n * PERCENT / 100) + 1 tokens; candidates that meet
-there pass the length and the positional filter, and are verified on the full sets, made anew from the text. A line that
-is similar to an earlier one (in order of id and line number) is removed.
+A line's tokens are its distinct word shingles (``K`` words, lower-cased). Tokens are put in one global order: those that
+begin with a word outside the ``FREQUENT`` most frequent words of all texts come first (the rare ones), by that word.
+Tokens that more than ``LIST`` lines list (parts of passages that many lines share) are put last, and the lines that
+listed one of them list anew. Two sets of Jaccard similarity ``PERCENT``/100 or more share a token in their prefixes of n - ceil(n * PERCENT / 100) + 1
+tokens; a line's entries are all shingles that begin with its first so many distinct rare words (all its shingles, if it
+has fewer), which hold that prefix. Candidates that meet there pass the length and the positional filter, and are
+verified on the full sets, made anew from the text. A line similar to an earlier one (by id and line number) is removed.
+
+Only functions that compile are used on the hot path (no lambda over words): arrays_zip makes the shingles and a
+generator hands them on as rows.
 
 Skew: equal lines become one class by a partial aggregate before anything is joined. Within a token's list each class
 first meets the earliest class only; classes that this doesn't settle then meet all earlier ones, so the answer is exact
@@ -17,23 +22,31 @@ other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable
 
-K, PERCENT, CELLS, BROADCAST_ROWS = 5, 80, 16384, 200_000
+K, PERCENT, FREQUENT, LIST, BROADCAST_ROWS = 5, 80, 256, 16, 500_000
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """id, line, words of every line with at least K words."""
-    split = docs.where("id is not null and text is not null").select("id", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    return split.select("id", "line", F.split(F.trim(F.regexp_replace(F.lower("raw"), r"[\t\x0B\f\r]", " ")), " +").alias("words")).where(F.size("words") >= K)
+    split = docs.where("id is not null and text is not null").select("id", F.posexplode(F.split(F.lower("text"), "\n")).alias("line", "raw"))
+    return split.select("id", "line", F.split(F.btrim("raw", F.lit(" \t\x0b\f\r")), "[ \\t\\x0B\\f\\r]+").alias("words")).where(F.size("words") >= K)
 
 
 def _shingles(words: str) -> Column:
-    w = F.col(words)
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - K), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(K)])))
+    """All shingles of a line as an array of structs of K words."""
+    n = F.size(words) - (K - 1)
+    return F.arrays_zip(*[F.slice(words, F.lit(j + 1), n).alias(f"w{j}") for j in range(K)])
+
+
+def _frequent(docs: DataFrame) -> list[str]:
+    """The most frequent words by a sketch over all texts. Any list gives right results; this one gives short lists."""
+    words = docs.where("text is not null").select(F.explode(F.split(F.lower("text"), "[ \\t\\n\\x0B\\f\\r]+")).alias("w"))
+    top = words.agg(F.expr(f"approx_top_k(w, {FREQUENT}, 8192)").alias("top")).first()["top"] or []
+    return sorted(r["item"] for r in top if r["item"])
 
 
 def _need(a: Column, b: Column) -> Column:
@@ -43,54 +56,83 @@ def _need(a: Column, b: Column) -> Column:
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(id, line) of every line of ``docs`` (id, text) that goes."""
-    lines = _lines(docs)
-    cell = lambda t: F.pmod(t, F.lit(CELLS)).cast("int")
-    counts = {r["cell"]: r["count"] for r in lines.select(F.explode(_shingles("words")).alias("t")).groupBy(cell(F.col("t")).alias("cell")).count().collect()}
-    # the rarity class of a cell: the logarithm of its count; a literal of CELLS numbers
-    scale = F.split(F.lit(",".join(str(counts.get(i, 0).bit_length() * 2 + (counts.get(i, 0) > 1.4 * 2 ** (counts.get(i, 0).bit_length() - 1))) for i in range(CELLS))), ",").cast("array<int>")
-    # global order as one number: rarity class first, then 56 bits of the token
-    ranked = F.transform("tokens", lambda t: F.shiftleft(F.get(scale, cell(t)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(t, 8)))
-    sets = lines.select("id", "line", F.xxhash64("words").alias("k1"), F.xxhash64("words", F.lit(5)).alias("k2"), _shingles("words").alias("tokens"))
-    n = F.size("tokens")
-    sets = sets.select("id", "line", "k1", "k2", n.alias("n"), F.slice(F.sort_array(ranked), F.lit(1), n - F.ceil(n * PERCENT / F.lit(100.0) - F.lit(1e-9)).cast("int") + 1).alias("prefix"))
-    occurrences = durable(sets)
-    # a class of equal lines: its first occurrence, and whether it has others
+    known = _frequent(docs)
+    often = F.array(*[F.lit(w) for w in known]) if known else F.array().cast("array<string>")
+    n = F.size("words") - (K - 1)
+    rows = _lines(docs).select("id", "line", "words", F.xxhash64("words").alias("k1"), F.xxhash64("words", F.lit(5)).alias("k2"), n.alias("n"))
+    rows = rows.withColumn("rare", F.sort_array(F.array_except(F.slice("words", F.lit(1), F.col("n")), often)))
+    # the last of the first so many rare words; null if there are fewer
+    rows = rows.withColumn("upto", F.get("rare", F.col("n") - F.ceil(F.col("n") * PERCENT / F.lit(100.0) - F.lit(1e-9)).cast("int")))
+    head = F.when(F.col("upto").isNull(), F.lit(0)).otherwise(F.array_position("words", F.get("rare", F.lit(0))) - 1)
+    rows = rows.select("id", "line", "k1", "k2", "n", "rare", "upto", head.alias("head"), F.posexplode(_shingles("words")).alias("spot", "s"))
+    w0 = F.col("s.w0")
+    within = (w0 <= F.col("upto")) & ~w0.isin(known) if known else w0 <= F.col("upto")
+    rows = rows.where(F.when(F.col("upto").isNull(), F.lit(True)).otherwise(within))
+    is_head = F.col("spot") == F.col("head")
+    # one of a line's entries, its head, stands for the occurrence and carries the second half of its class
+    entries = durable(rows.select(F.xxhash64(*[F.col(f"s.w{j}") for j in range(K)]).alias("token"), "id", "line", "k1", F.when(is_head, F.col("k2")).alias("k2"), is_head.alias("head"), "n", F.size("rare").alias("d"), F.when(F.col("upto").isNull(), F.lit(0)).otherwise((F.array_position("rare", w0) - 1).cast("int")).alias("pos")))
+    occurrences = entries.where("head").select("id", "line", "k1", "k2")
     spot = F.struct("id", "line")
-    classes = durable(occurrences.groupBy("k1", "k2").agg(F.min(spot).alias("at"), F.max(spot).alias("last"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
-    entries = classes.select(F.posexplode("prefix").alias("pos", "token"), "k1", "k2", "n", "at").repartition("token")
-    shared = entries.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
-    multi = durable(entries.join(shared.hint("shuffle_hash"), "token"))
+    # a class of equal lines: its first and last occurrence
+    classes = durable(occurrences.groupBy("k1", "k2").agg(F.min(spot).alias("at"), F.max(spot).alias("last")))
+    shared = durable(entries.groupBy("token").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a <> b").select("token"))
+    shared = F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared  # 8 bytes a row; beyond that, a shuffle join
+    multi = durable(entries.join(shared, "token").groupBy("token", "k1", "n", "d").agg(F.min("pos").alias("pos"), F.min(spot).alias("at")))
+
+    def picked(wanted: DataFrame) -> DataFrame:
+        """The lines at ``wanted`` (w_id, w_line), from the text."""
+        small = wanted.count() <= BROADCAST_ROWS  # 16 bytes a row; beyond that, a shuffle join
+        return _lines(docs).join(F.broadcast(wanted) if small else wanted, (F.col("id") == F.col("w_id")) & (F.col("line") == F.col("w_line")), "left_semi")
+
+    def bounded(few: DataFrame) -> DataFrame:
+        return F.broadcast(few) if few.count() <= BROADCAST_ROWS else few
+
+    heavy = durable(multi.groupBy("token").count().where(F.col("count") > LIST).select("token"))
+    if heavy.head(1):
+        heavy = bounded(heavy)
+        again = durable(multi.join(heavy, "token", "left_semi").select("at").distinct())
+        every = picked(durable(again.select(F.col("at.id").alias("w_id"), F.col("at.line").alias("w_line"))))
+        every = every.select("id", "line", F.xxhash64("words").alias("k1"), F.explode(_shingles("words")).alias("s"))
+        every = every.select(spot.alias("at"), "k1", F.xxhash64(*[F.col(f"s.w{j}") for j in range(K)]).alias("token"), (F.col("s.w0").isin(known) if known else F.lit(False)).alias("often"), F.col("s.w0").alias("w0")).distinct()
+        every = every.join(heavy.withColumn("last", F.lit(True)), "token", "left")
+        of = Window.partitionBy("at", "k1")
+        every = every.withColumn("n", F.count("*").over(of).cast("int")).withColumn("pos", F.row_number().over(of.orderBy(F.coalesce("last", F.lit(False)), "often", "w0", "token")) - 1)
+        every = durable(every.where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * PERCENT / F.lit(100.0) - F.lit(1e-9))).select("token", "k1", "n", F.col("n").alias("d"), "pos", "at"))
+        others = entries.join(bounded(durable(every.select("token").distinct())), "token", "left_semi").select("token", "k1", "n", "d", "pos", spot.alias("at"))
+        others = others.groupBy("token", "k1", "n", "d").agg(F.min("pos").alias("pos"), F.min("at").alias("at")).unionByName(multi.join(heavy, "token", "left_anti"))
+        multi = others.join(bounded(again.select(F.col("at").alias("redone"))), F.col("at") == F.col("redone"), "left_anti").unionByName(every).distinct()
+        multi = durable(multi.join(multi.groupBy("token").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a <> b").select("token"), "token"))
 
     def filtered(pairs: DataFrame) -> DataFrame:
-        """Length and positional filter of pairs that share a token; distinct pairs, the earlier class first."""
+        """Length and positional filter of pairs that share a token; distinct pairs, the earlier class first. A set's
+        size is at least its rare first words (d) and at most its shingles (n)."""
         x, y = F.col("x"), F.col("y")
         room = 1 + F.least(x["n"] - x["pos"] - 1, y["n"] - y["pos"] - 1)
-        ok = (100 * F.least(x["n"], y["n"]) >= PERCENT * F.greatest(x["n"], y["n"])) & (room >= _need(x["n"], y["n"]))
-        return pairs.where(ok).select(*[x[c].alias(f"x_{c}") for c in ("k1", "k2", "at")], *[y[c].alias(f"y_{c}") for c in ("k1", "k2", "at")]).distinct()
+        ok = (100 * x["n"] >= PERCENT * y["d"]) & (100 * y["n"] >= PERCENT * x["d"]) & (room >= _need(x["d"], y["d"])) & (x["k1"] != y["k1"])
+        return pairs.where(ok).select(x["k1"].alias("x_k1"), x["at"].alias("x_at"), y["k1"].alias("y_k1"), y["at"].alias("y_at")).distinct()
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Of distinct pairs, (k1, k2) of the later class of those that are similar, on full sets."""
         pairs = durable(pairs)
         wanted = pairs.select(F.explode(F.array("x_at", "y_at")).alias("at")).distinct()
         wanted = durable(wanted.select(F.col("at.id").alias("w_id"), F.col("at.line").alias("w_line")))
-        small = wanted.count() <= BROADCAST_ROWS  # 16 bytes a row; beyond that, a shuffle join
-        found = _lines(docs).join(F.broadcast(wanted) if small else wanted, (F.col("id") == F.col("w_id")) & (F.col("line") == F.col("w_line")), "left_semi")
-        full = durable(found.select(F.struct("id", "line").alias("at"), F.xxhash64("words").alias("k1"), F.xxhash64("words", F.lit(5)).alias("k2"), _shingles("words").alias("tokens")).dropDuplicates(["at", "k1", "k2"]))
+        found = picked(wanted)
+        full = durable(found.select(F.struct("id", "line").alias("at"), F.xxhash64("words").alias("k1"), F.xxhash64("words", F.lit(5)).alias("k2"), F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("words") - K), lambda i: F.xxhash64(*[F.get("words", i + j) for j in range(K)]))).alias("tokens")).dropDuplicates(["at", "k1", "k2"]))
         side = lambda s: full.select(F.col("k1").alias(f"{s}_k1"), F.col("k2").alias(f"{s}_k2"), F.col("at").alias(f"{s}_at"), F.col("tokens").alias(f"{s}_tokens"))
-        both = pairs.join(side("x"), ["x_k1", "x_k2", "x_at"]).join(side("y"), ["y_k1", "y_k2", "y_at"])
+        both = pairs.join(side("x"), ["x_k1", "x_at"]).join(side("y"), ["y_k1", "y_at"])
         o = F.size(F.array_intersect("x_tokens", "y_tokens"))
         return durable(both.where(100 * o >= PERCENT * (F.size("x_tokens") + F.size("y_tokens") - o)).select(F.col("y_k1").alias("k1"), F.col("y_k2").alias("k2")).distinct())
 
-    here = F.struct("at", "k1", "k2", "n", "pos")
-    first = multi.groupBy("token").agg(F.min(here).alias("x"))
+    here = F.struct("at", "k1", "n", "d", "pos")
+    first = multi.groupBy("token").agg(F.min(here).alias("x"), F.count("*").alias("c"))
     late = verified(filtered(multi.select("token", here.alias("y")).join(first, "token").where("x.at < y.at")))
     # what the earliest of each list did not settle meets all that come before it
-    open_ = multi.where("c > 2").join(late, ["k1", "k2"], "left_anti").select("token", here.alias("y"))
-    before = multi.where("c > 2").join(first.select("token", F.col("x.at").alias("top")), "token").where("at > top").select("token", here.alias("x"))
-    late = late.unionByName(verified(filtered(open_.join(before, "token").where("x.at < y.at")))).distinct()
+    rest = multi.join(first.where("c > 2").select("token", F.col("x.at").alias("top")), "token").where("at > top")
+    open_ = rest.join(late.select("k1").distinct(), "k1", "left_anti").select("token", here.alias("y"))
+    late = late.unionByName(verified(filtered(open_.join(rest.select("token", here.alias("x")), "token").where("x.at < y.at")))).distinct()
     # a class is told by its first occurrence: the later of two is late, with all its occurrences
     told = classes.join(late.withColumn("late", F.lit(True)), ["k1", "k2"], "left").where("late or at <> last").select("k1", "k2", "at", F.coalesce("late", F.lit(False)).alias("late"))
-    return occurrences.select("id", "line", "k1", "k2").join(told, ["k1", "k2"]).where(F.col("late") | (spot != F.col("at"))).select("id", "line")
+    return occurrences.join(told, ["k1", "k2"]).where(F.col("late") | (spot != F.col("at"))).select("id", "line")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -88,9 +88,10 @@ def _confirm(k: int, percent: int):
     return run
 
 
-def _alike(least: float):
+def _alike(least: float, percent: int):
+    """Signatures close enough, and sizes that allow the similarity."""
     same = sum((64 - F.bit_count(F.col("x")[i].bitwiseXOR(F.col("y")[i])) for i in range(BANDS * ROWS // 64)), F.lit(0))
-    return 2.0 * same / (BANDS * ROWS) - 1.0 >= least
+    return (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & (2.0 * same / (BANDS * ROWS) - 1.0 >= least)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -102,11 +103,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # only equal sets become one class; the minimum is a partial aggregate, whatever the size of the class
     classes = some.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"))
     reps = some.select("id", "s1", "s2", "n", "bands", "bits").join(classes.withColumnRenamed("rep", "id"), ["id", "s1", "s2", "n"], "left_semi").dropDuplicates(["id"])
-    reps = durable(reps.select("id", "bits", "bands"))
-    bits = reps.select("id", "bits")
+    reps = durable(reps.select("id", "n", "bits", "bands"))
+    bits = reps.select("id", "n", "bits")
     spread = reps.select("id", F.explode("bands").alias("key"))
-    buckets = spread.groupBy("key").agg(F.min("id").alias("center"), F.count("*").alias("size")).where("size > 1")
+    buckets = spread.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     met = durable(spread.join(buckets, "key"))
+    # a bucket's centre is its best met member: the text from which a group of near copies was made meets them all,
+    # while two copies of it may be too far from each other
+    degree = met.groupBy("id").agg(F.sum("size").alias("degree"))
+    best = met.join(degree, "id").groupBy("key").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("center"))
+    met = durable(met.join(best, "key"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Of distinct candidate pairs with close signatures, the true links."""
@@ -115,21 +121,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return durable(full.select("u", "v", "text_u", "text_v").mapInArrow(_confirm(k, percent), "u long, v long"))
 
     def close(pairs: DataFrame) -> DataFrame:
-        full = pairs.join(bits.select(F.col("id").alias("u"), F.col("bits").alias("x")), "u").join(bits.select(F.col("id").alias("v"), F.col("bits").alias("y")), "v")
-        return full.where(_alike(least)).select("u", "v")
+        full = pairs.join(bits.select(F.col("id").alias("u"), F.col("n").alias("nx"), F.col("bits").alias("x")), "u").join(bits.select(F.col("id").alias("v"), F.col("n").alias("ny"), F.col("bits").alias("y")), "v")
+        return full.where(_alike(least, percent)).select("u", "v")
 
-    # first each member against its bucket's smallest id: one pair a row
-    stars = durable(close(met.where("id <> center").select(F.col("center").alias("u"), F.col("id").alias("v")).distinct()))
+    # first each member against its bucket's centre: one pair a row
+    stars = durable(close(met.where("id <> center").select(F.least("center", "id").alias("u"), F.greatest("center", "id").alias("v")).distinct()))
     links = confirmed(stars)
     labels = durable(components(links))
     # then the rest: in buckets that still hold several components, every pair across components, so no link is lost.
     # Members of a bucket's largest component are paired with the others only, never with each other.
     left = met.where("size > 2").join(labels, F.col("id") == F.col("node"), "left").select("key", "id", "center", F.coalesce("label", "id").alias("label"))
     per = left.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("parts"), F.max_by("label", F.struct("c", "label")).alias("mode")).where("parts > 1")
-    left = durable(left.join(per, "key").join(bits, "id").select("key", "id", "center", "label", "mode", "bits"))
-    a = left.where("label <> mode").select("key", F.col("id").alias("u"), F.col("label").alias("lu"), F.col("bits").alias("x"))
-    b = left.select("key", F.col("id").alias("v"), F.col("label").alias("lv"), "mode", "center", F.col("bits").alias("y"))
-    across = a.join(b, (a["key"] == b["key"]) & (F.col("lu") != F.col("lv")) & ((F.col("lv") == F.col("mode")) | (F.col("u") < F.col("v"))) & (F.col("u") != F.col("center")) & (F.col("v") != F.col("center")) & _alike(least))
+    left = durable(left.join(per, "key").join(bits, "id").select("key", "id", "center", "label", "mode", "n", "bits"))
+    a = left.where("label <> mode").select("key", F.col("id").alias("u"), F.col("label").alias("lu"), F.col("n").alias("nx"), F.col("bits").alias("x"))
+    b = left.select("key", F.col("id").alias("v"), F.col("label").alias("lv"), "mode", "center", F.col("n").alias("ny"), F.col("bits").alias("y"))
+    across = a.join(b, (a["key"] == b["key"]) & (F.col("lu") != F.col("lv")) & ((F.col("lv") == F.col("mode")) | (F.col("u") < F.col("v"))) & (F.col("u") != F.col("center")) & (F.col("v") != F.col("center")) & _alike(least, percent))
     across = durable(across.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     more = confirmed(across)
     if more.head(1):
