@@ -81,9 +81,9 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 real[at[:-1] + j] = False
             k, c = np.unique(key[real[DEPTH:]], return_counts=True)
             held.append((k, c))
-            if sum(len(x[0]) for x in held) > 3_000_000:
+            if sum(len(x[0]) for x in held) > 1_500_000:
                 held[:] = [merged()]
-                if len(held[0][0]) > 2_000_000:
+                if len(held[0][0]) > 1_000_000:
                     yield pa.RecordBatch.from_arrays([pa.array(held[0][0]), pa.array(held[0][1])], ["gram", "c"])
                     held.clear()
     if held:
@@ -179,25 +179,45 @@ def learn(train: DataFrame) -> SuffixTree:
 
 
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, word, training count) for each distinct word of each block; a task holds whole blocks."""
+    """(block, word) for each distinct word of each block; a task holds whole blocks."""
     held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
     for batch in batches:
         for part in slices(batch, "text"):
-            data, off = utf8(part.column("text"))
-            starts, ends, doc = word_spans(data, off)
-            with np.errstate(over="ignore"):
-                h = word_hashes(data, starts, ends)
+            doc, h = _words(part.column("text"))
             block = part.column("block").to_numpy()[doc]
-            train = ~part.column("held_out").to_numpy(zero_copy_only=False).astype(bool)[doc]
             for b in np.unique(block):
-                k, code = np.unique(h[block == b], return_inverse=True)
+                k = np.unique(h[block == b])
                 mine = held.setdefault(int(b), [])
-                mine.append((k, np.bincount(code, train[block == b], len(k))))
+                mine.append((k, np.ones(len(k))))
                 if len(mine) > 16:
                     mine[:] = [_summed(mine)]
     for b, parts in held.items():
-        k, c = _summed(parts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), b, np.int32)), pa.array(k.view(np.int64)), pa.array(c.astype(np.int64))], ["block", "word", "c"])
+        k, _ = _summed(parts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), b, np.int32)), pa.array(k.view(np.int64))], ["block", "word"])
+
+
+def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    data, off = utf8(column)
+    starts, ends, doc = word_spans(data, off)
+    with np.errstate(over="ignore"):
+        return doc, word_hashes(data, starts, ends)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Word counts of a task's training texts: a partial aggregate, given out whenever it grows large."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for batch in batches:
+        for part in slices(batch, "text"):
+            held.append(np.unique(_words(part.column("text"))[1], return_counts=True))
+            if len(held) > 8:
+                held[:] = [_summed(held)]
+            if len(held[0][0]) > 1_000_000:
+                k, c = _summed(held)
+                held.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c.astype(np.int64))], ["word", "c"])
+    if held:
+        k, c = _summed(held)
+        yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c.astype(np.int64))], ["word", "c"])
 
 
 def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -239,11 +259,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tree = learn(rows.where("not held_out"))
     total, ends_c = rows.agg(F.sum(F.octet_length("text")), F.count(F.when(~F.col("held_out"), 1))).first()
     blocks = max(1, -(-(total or 0) // BLOCK_BYTES))
+    per_word = durable(rows.where("not held_out").select("text").mapInArrow(_counted, "word long, c long").groupBy("word").agg(F.sum("c").alias("n")))
     # one exchange of the texts by block serves both uses
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", F.when(F.col("id").isNull(), F.xxhash64("text"))), F.lit(blocks)).cast("int")).repartition(blocks, "block")
-    asked = durable(dealt.mapInArrow(_vocabulary, "block int, word long, c long"))
-    per_word = durable(asked.groupBy("word").agg(F.sum("c").alias("n")).where("n > 0"))
-    known = asked.select("block", "word").join(per_word, "word").select("block", "word", F.col("n").alias("c"))
+    known = dealt.mapInArrow(_vocabulary, "block int, word long").join(per_word, "word").select("block", "word", F.col("n").alias("c"))
     distinct, sums = per_word.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     n_all, v = sums + ends_c, distinct + (1 if ends_c else 0)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
