@@ -21,6 +21,8 @@ from .common import components, durable, mix, shingle_sets, slices, utf8
 #: 64 bands of 8 minima: a pair of similarity 0.8 meets in no band with probability (1 - 0.8**8)**64 < 1e-5, one of
 #: similarity 0.1 in some band with probability below 1e-6.
 BANDS, ROWS = 64, 8
+#: The sets of texts that the first round leaves open are broadcast up to this size; beyond it, pairs are joined.
+OPEN_BYTES, PART = 96 << 20, 256
 #: One bit of each of the 512 minima estimates a similarity of 0.8 with a deviation of 0.027; pairs below
 #: 0.8 less five deviations are not confirmed.
 SLACK = 5 * 0.027
@@ -88,12 +90,64 @@ def _confirm(k: int, percent: int):
     return run
 
 
+def _sets(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                values, off = shingle_sets(part.column(1), k)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(values.view(np.int64)))], ["id", "set"])
+
+    return run
+
+
+def _links(sets, percent: int, least: float):
+    """Of one part of a bucket, the links between its strays and all its members of other components."""
+
+    def run(group: pa.Table) -> pa.Table:
+        of, (ids, off, values) = {}, sets.value
+        stray = group.column("stray").to_numpy(zero_copy_only=False).astype(bool)
+        me, label, n = (group.column(c).to_numpy() for c in ("id", "label", "n"))
+        mode, center = group.column("mode")[0].as_py(), group.column("center")[0].as_py()
+        bits = group.column("bits").combine_chunks().flatten().to_numpy().reshape(len(me), -1)
+        every, u, v = np.flatnonzero(~stray), [], []
+
+        def get(x: int) -> np.ndarray:
+            if x not in of:
+                at = int(np.searchsorted(ids, x))
+                of[x] = values[off[at] : off[at + 1]]
+            return of[x]
+
+        for a in np.flatnonzero(stray):
+            if me[a] == center:
+                continue
+            far = np.bitwise_count(bits[every] ^ bits[a]).sum(axis=1)
+            ok = (label[every] != label[a]) & (me[every] != center) & ((label[every] == mode) | (me[a] < me[every])) & (1 - 2 * far / (BANDS * ROWS) >= least)
+            ok &= 100 * np.minimum(n[every], n[a]) >= percent * np.maximum(n[every], n[a])
+            for b in every[ok]:
+                x, y = get(int(me[a])), get(int(me[b]))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    u.append(min(me[a], me[b]))
+                    v.append(max(me[a], me[b]))
+        return pa.table({"u": pa.array(np.array(u, np.int64)), "v": pa.array(np.array(v, np.int64))})
+
+    return run
+
+
 def _alike(least: float, percent: int):
     """Signatures close enough, and sizes that allow the similarity."""
     same = sum((64 - F.bit_count(F.col("x")[i].bitwiseXOR(F.col("y")[i])) for i in range(BANDS * ROWS // 64)), F.lit(0))
     return (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & (2.0 * same / (BANDS * ROWS) - 1.0 >= least)
 
 
+def _joined(left: DataFrame, percent: int, least: float, confirmed) -> DataFrame:
+    """The same by a join of the strays with all members, for sets too large to broadcast."""
+    a = left.where("label <> mode").select("key", F.col("id").alias("u"), F.col("label").alias("lu"), F.col("n").alias("nx"), F.col("bits").alias("x"))
+    b = left.select("key", F.col("id").alias("v"), F.col("label").alias("lv"), "mode", "center", F.col("n").alias("ny"), F.col("bits").alias("y"))
+    across = a.join(b, (a["key"] == b["key"]) & (F.col("lu") != F.col("lv")) & ((F.col("lv") == F.col("mode")) | (F.col("u") < F.col("v"))) & (F.col("u") != F.col("center")) & (F.col("v") != F.col("center")) & _alike(least, percent))
+    return confirmed(durable(across.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """One row for each row of ``docs``: id, n_shingles, component_id, kept. Links have 100 * intersection >= percent * union."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -133,11 +187,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left = met.where("size > 2").join(labels, F.col("id") == F.col("node"), "left").select("key", "id", "center", F.coalesce("label", "id").alias("label"))
     per = left.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("parts"), F.max_by("label", F.struct("c", "label")).alias("mode")).where("parts > 1")
     left = durable(left.join(per, "key").join(bits, "id").select("key", "id", "center", "label", "mode", "n", "bits"))
-    a = left.where("label <> mode").select("key", F.col("id").alias("u"), F.col("label").alias("lu"), F.col("n").alias("nx"), F.col("bits").alias("x"))
-    b = left.select("key", F.col("id").alias("v"), F.col("label").alias("lv"), "mode", "center", F.col("n").alias("ny"), F.col("bits").alias("y"))
-    across = a.join(b, (a["key"] == b["key"]) & (F.col("lu") != F.col("lv")) & ((F.col("lv") == F.col("mode")) | (F.col("u") < F.col("v"))) & (F.col("u") != F.col("center")) & (F.col("v") != F.col("center")) & _alike(least, percent))
-    across = durable(across.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    more = confirmed(across)
+    open_ids = durable(left.select("id", "n").distinct())
+    if (open_ids.agg(F.sum("n")).first()[0] or 0) * 8 <= OPEN_BYTES:
+        got = docs.where("id is not null").join(open_ids, "id", "left_semi").dropDuplicates(["id"]).select("id", "text").mapInArrow(_sets(k), "id long, set array<long>").toArrow()
+        order = np.argsort(got.column("id").to_numpy(), kind="stable")
+        lists = got.column("set").combine_chunks().take(pa.array(order))
+        sets = docs.sparkSession.sparkContext.broadcast((got.column("id").to_numpy()[order], lists.offsets.to_numpy(), lists.flatten().to_numpy().view(np.uint64)))
+        # a bucket's strays in parts of bounded size, each with all members of the bucket
+        parts = left.groupBy("key").agg((F.floor(F.sum((F.col("label") != F.col("mode")).cast("int")) / PART) + 1).alias("parts"))
+        dealt = left.join(parts, "key")
+        strays = dealt.where("label <> mode").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).withColumn("stray", F.lit(True))
+        alls = dealt.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumn("stray", F.lit(False))
+        every = strays.select(*(cols := ["key", "part", "stray", "id", "label", "mode", "center", "n", "bits"])).unionByName(alls.select(*cols))
+        more = durable(every.groupBy("key", "part").applyInArrow(_links(sets, percent, least), "u long, v long").distinct())
+    else:
+        more = _joined(left, percent, least, confirmed)
     if more.head(1):
         labels = durable(components(links.unionByName(more)))
     of = classes.join(labels, F.col("rep") == F.col("node"), "left").select("s1", "s2", "n", F.coalesce("label", "rep").alias("top"))
