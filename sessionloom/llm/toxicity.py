@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from . import common
 from .common import slices, utf8, word_hashes
 
-GRADES, FEATURES = 3, 2048
+#: Features are words whose log odds are this many deviations from even, and eight at least.
+GRADES, FEATURES, TELLING = 3, 2048, 6.0
 
 _BREAK = np.ones(256, bool)
 for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
@@ -66,7 +67,8 @@ def fit(values: np.ndarray, off: np.ndarray, toxic: np.ndarray) -> OrdinalModel
     nb, ng = toxic.sum(), (~toxic).sum()
     odds = np.log((bad + 0.5) / (nb + 1)) - np.log((good + 0.5) / (ng + 1))
     telling = odds / np.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5))
-    chosen = np.sort(np.argsort(-np.abs(telling), kind="stable")[:FEATURES])
+    chosen = np.argsort(-np.abs(telling), kind="stable")[:FEATURES]
+    chosen = np.sort(chosen[(np.abs(telling[chosen]) > TELLING) | (np.arange(len(chosen)) < 8)])
     place = np.full(len(keys), -1)
     place[chosen] = np.arange(len(chosen))
     col, keep = place[code], place[code] >= 0
