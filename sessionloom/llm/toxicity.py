@@ -25,7 +25,7 @@ from . import common
 from .common import slices, utf8, word_hashes
 
 #: Features are words whose log odds are this many deviations from even, and eight at least.
-GRADES, FEATURES, TELLING = 3, 2048, 6.0
+GRADES, FEATURES, TELLING = 3, 2048, 3.0
 
 _BREAK = np.ones(256, bool)
 for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
