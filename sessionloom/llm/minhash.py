@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, durable, mix, shingle_sets, slices, utf8
@@ -159,9 +159,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = some.select("id", "s1", "s2", "n", "bands", "bits").join(classes.withColumnRenamed("rep", "id"), ["id", "s1", "s2", "n"], "left_semi").dropDuplicates(["id"])
     reps = durable(reps.select("id", "n", "bits", "bands"))
     bits = reps.select("id", "n", "bits")
+    # one exchange of the band keys; a text has one key in each band, so no key holds more than 1 / BANDS of the rows
     spread = reps.select("id", F.explode("bands").alias("key"))
-    buckets = spread.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    met = durable(spread.join(buckets, "key"))
+    met = durable(spread.withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1"))
     # a bucket's centre is its best met member: the text from which a group of near copies was made meets them all,
     # while two copies of it may be too far from each other
     degree = met.groupBy("id").agg(F.sum("size").alias("degree"))
