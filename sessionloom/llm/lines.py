@@ -1,15 +1,12 @@
 """Line dedup by an exact set-similarity join, in DataFrame operations only.
 
-A line's tokens are its distinct word shingles (``K`` words, lower-cased). Tokens are put in one global order: those that
-begin with a word outside the ``FREQUENT`` most frequent words of all texts come first (the rare ones), by that word.
-Tokens that more than ``LIST`` lines list (parts of passages that many lines share) are put last, and the lines that
-listed one of them list anew. Two sets of Jaccard similarity ``PERCENT``/100 or more share a token in their prefixes of n - ceil(n * PERCENT / 100) + 1
-tokens; a line's entries are all shingles that begin with its first so many distinct rare words (all its shingles, if it
-has fewer), which hold that prefix. Candidates that meet there pass the length and the positional filter, and are
-verified on the full sets, made anew from the text. A line similar to an earlier one (by id and line number) is removed.
-
-Only functions that compile are used on the hot path (no lambda over words): arrays_zip makes the shingles and a
-generator hands them on as rows.
+A line's tokens are its distinct word shingles (``K`` words, lower-cased), ordered by rarity: by the count and hash of a
+shingle's rarest word. Two sets of Jaccard similarity ``PERCENT``/100 or more share a token in their prefixes of
+n - ceil(n * PERCENT / 100) + 1 tokens, and with it its rarest word; so a line is listed under the rarest words of its
+prefix, and these few words meet instead of all shingles. Counts are exact. The ``FREQUENT`` most frequent words are
+looked at only for the lines that the others do not cover. Candidates that meet pass the length and the positional
+filter, and are verified on the full sets, made anew from the text. A line similar to an earlier one (by id and line
+number) is removed.
 
 Skew: equal lines become one class by a partial aggregate before anything is joined. Within a token's list each class
 first meets the earliest class only; classes that this doesn't settle then meet all earlier ones, so the answer is exact
@@ -22,12 +19,12 @@ other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable
 
-K, PERCENT, FREQUENT, LIST, BROADCAST_ROWS = 5, 80, 256, 16, 500_000
+K, PERCENT, FREQUENT, BROADCAST_ROWS = 5, 80, 65_536, 500_000
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -36,103 +33,88 @@ def _lines(docs: DataFrame) -> DataFrame:
     return split.select("id", "line", F.split(F.btrim("raw", F.lit(" \t\x0b\f\r")), "[ \\t\\x0B\\f\\r]+").alias("words")).where(F.size("words") >= K)
 
 
-def _shingles(words: str) -> Column:
-    """All shingles of a line as an array of structs of K words."""
-    n = F.size(words) - (K - 1)
-    return F.arrays_zip(*[F.slice(words, F.lit(j + 1), n).alias(f"w{j}") for j in range(K)])
+def _need(a: Column, b: Column) -> Column:
+    """Least overlap of sets of these sizes: 100 * o >= PERCENT * (a + b - o)."""
+    return F.ceil((a + b) * PERCENT / F.lit(100.0 + PERCENT) - F.lit(1e-9))
 
 
-def _frequent(docs: DataFrame) -> list[str]:
-    """The most frequent words by a sketch over all texts. Any list gives right results; this one gives short lists."""
-    words = docs.where("text is not null").select(F.explode(F.split(F.lower("text"), "[ \\t\\n\\x0B\\f\\r]+")).alias("w"))
-    top = words.agg(F.expr(f"approx_top_k(w, {FREQUENT}, 8192)").alias("top")).first()["top"] or []
-    return sorted(r["item"] for r in top if r["item"])
+def _bounded(few: DataFrame) -> DataFrame:
+    """Broadcast up to ``BROADCAST_ROWS`` rows (some 32 bytes each); beyond that, a shuffle join."""
+    return F.broadcast(few) if few.count() <= BROADCAST_ROWS else few
 
 
-def _need(a: Column, b: Column) -> Column:
-    """Least overlap of sets of these sizes: 100 * o >= PERCENT * (a + b - o)."""
-    return F.ceil((a + b) * PERCENT / F.lit(100.0 + PERCENT) - F.lit(1e-9))
+def _prefixes(words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From (at, n, q, h, c), words h of count c at places q of lines of n shingles: the tokens of each line's prefix
+    (at, n, q, h, c, pos) and the lines that these words cover (at).
+
+    A word covers the shingles around its first place. These are different shingles for different places, so once the
+    rarest words cover as many as the prefix is long, every shingle of the prefix has one of them as its rarest word.
+    """
+    words = words.repartition("at")  # serves all that follows
+    words = words.groupBy("at", "n", "h", "c").agg(F.min("q").alias("q"))
+    spots = words.select("at", "n", "c", "h", F.explode(F.sequence(F.greatest(F.col("q") - (K - 1), F.lit(0)), F.least(F.col("q"), F.col("n") - 1))).alias("s"))
+    rarest = spots.groupBy("at", "n", "s").agg(F.min(F.struct("c", "h")).alias("m"))
+    length = (F.col("n") - F.ceil(F.col("n") * PERCENT / F.lit(100.0) - F.lit(1e-9)) + 1).cast("int")
+    ranked = rarest.groupBy("at", "n").agg(F.sort_array(F.collect_list("m")).alias("ms"))  # bounded by the line
+    covered = ranked.where(F.size("ms") >= length).select("at", F.slice("ms", F.lit(1), length).alias("ms"))
+    chosen = words.join(covered, "at").where(F.struct("c", "h") <= F.element_at("ms", -1))
+    before = F.size(F.filter("ms", lambda m: m < F.struct("c", "h")))
+    tokens = durable(chosen.select("at", "n", "q", "h", "c", before.alias("pos")))
+    return tokens, tokens.select("at").distinct()
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(id, line) of every line of ``docs`` (id, text) that goes."""
-    known = _frequent(docs)
-    often = F.array(*[F.lit(w) for w in known]) if known else F.array().cast("array<string>")
-    n = F.size("words") - (K - 1)
-    rows = _lines(docs).select("id", "line", "words", F.xxhash64("words").alias("k1"), F.xxhash64("words", F.lit(5)).alias("k2"), n.alias("n"))
-    rows = rows.withColumn("rare", F.sort_array(F.array_except(F.slice("words", F.lit(1), F.col("n")), often)))
-    # the last of the first so many rare words; null if there are fewer
-    rows = rows.withColumn("upto", F.get("rare", F.col("n") - F.ceil(F.col("n") * PERCENT / F.lit(100.0) - F.lit(1e-9)).cast("int")))
-    head = F.when(F.col("upto").isNull(), F.lit(0)).otherwise(F.array_position("words", F.get("rare", F.lit(0))) - 1)
-    rows = rows.select("id", "line", "k1", "k2", "n", "rare", "upto", head.alias("head"), F.posexplode(_shingles("words")).alias("spot", "s"))
-    w0 = F.col("s.w0")
-    within = (w0 <= F.col("upto")) & ~w0.isin(known) if known else w0 <= F.col("upto")
-    rows = rows.where(F.when(F.col("upto").isNull(), F.lit(True)).otherwise(within))
-    is_head = F.col("spot") == F.col("head")
-    # one of a line's entries, its head, stands for the occurrence and carries the second half of its class
-    entries = durable(rows.select(F.xxhash64(*[F.col(f"s.w{j}") for j in range(K)]).alias("token"), "id", "line", "k1", F.when(is_head, F.col("k2")).alias("k2"), is_head.alias("head"), "n", F.size("rare").alias("d"), F.when(F.col("upto").isNull(), F.lit(0)).otherwise((F.array_position("rare", w0) - 1).cast("int")).alias("pos")))
-    occurrences = entries.where("head").select("id", "line", "k1", "k2")
     spot = F.struct("id", "line")
-    # a class of equal lines: its first and last occurrence
-    classes = durable(occurrences.groupBy("k1", "k2").agg(F.min(spot).alias("at"), F.max(spot).alias("last")))
-    shared = durable(entries.groupBy("token").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a <> b").select("token"))
-    shared = F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared  # 8 bytes a row; beyond that, a shuffle join
-    multi = durable(entries.join(shared, "token").groupBy("token", "k1", "n", "d").agg(F.min("pos").alias("pos"), F.min(spot).alias("at")))
-
-    def picked(wanted: DataFrame) -> DataFrame:
-        """The lines at ``wanted`` (w_id, w_line), from the text."""
-        small = wanted.count() <= BROADCAST_ROWS  # 16 bytes a row; beyond that, a shuffle join
-        return _lines(docs).join(F.broadcast(wanted) if small else wanted, (F.col("id") == F.col("w_id")) & (F.col("line") == F.col("w_line")), "left_semi")
-
-    def bounded(few: DataFrame) -> DataFrame:
-        return F.broadcast(few) if few.count() <= BROADCAST_ROWS else few
-
-    heavy = durable(multi.groupBy("token").count().where(F.col("count") > LIST).select("token"))
-    if heavy.head(1):
-        heavy = bounded(heavy)
-        again = durable(multi.join(heavy, "token", "left_semi").select("at").distinct())
-        every = picked(durable(again.select(F.col("at.id").alias("w_id"), F.col("at.line").alias("w_line"))))
-        every = every.select("id", "line", F.xxhash64("words").alias("k1"), F.explode(_shingles("words")).alias("s"))
-        every = every.select(spot.alias("at"), "k1", F.xxhash64(*[F.col(f"s.w{j}") for j in range(K)]).alias("token"), (F.col("s.w0").isin(known) if known else F.lit(False)).alias("often"), F.col("s.w0").alias("w0")).distinct()
-        every = every.join(heavy.withColumn("last", F.lit(True)), "token", "left")
-        of = Window.partitionBy("at", "k1")
-        every = every.withColumn("n", F.count("*").over(of).cast("int")).withColumn("pos", F.row_number().over(of.orderBy(F.coalesce("last", F.lit(False)), "often", "w0", "token")) - 1)
-        every = durable(every.where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * PERCENT / F.lit(100.0) - F.lit(1e-9))).select("token", "k1", "n", F.col("n").alias("d"), "pos", "at"))
-        others = entries.join(bounded(durable(every.select("token").distinct())), "token", "left_semi").select("token", "k1", "n", "d", "pos", spot.alias("at"))
-        others = others.groupBy("token", "k1", "n", "d").agg(F.min("pos").alias("pos"), F.min("at").alias("at")).unionByName(multi.join(heavy, "token", "left_anti"))
-        multi = others.join(bounded(again.select(F.col("at").alias("redone"))), F.col("at") == F.col("redone"), "left_anti").unionByName(every).distinct()
-        multi = durable(multi.join(multi.groupBy("token").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a <> b").select("token"), "token"))
+    all_lines = _lines(docs).select("id", "line", "words", F.xxhash64("words").alias("k1"), F.xxhash64("words", F.lit(5)).alias("k2"))
+    occurrences = durable(all_lines.select("id", "line", "k1", "k2"))
+    # a class of equal lines: its first and last occurrence; the first stands for it
+    classes = durable(occurrences.groupBy("k1", "k2").agg(F.min(spot).alias("first"), F.max(spot).alias("last")))
+    several = _bounded(classes.where("first <> last").select("k1", "k2", "first"))
+    own = all_lines.join(several, ["k1", "k2"], "left").where(F.col("first").isNull() | (F.col("first") == spot))
+    own = own.select(F.struct("id", "line", "k1").alias("at"), (F.size("words") - (K - 1)).alias("n"), "words")
+    counts = durable(own.select(F.explode("words").alias("w")).groupBy(F.xxhash64("w").alias("h")).agg(F.count("*").alias("c")))
+    top = F.broadcast(durable(counts.orderBy(F.desc("c"), F.desc("h")).limit(FREQUENT)))  # 16 bytes a row
+    said = lambda lines: lines.select("at", "n", F.posexplode("words").alias("q", "w")).select("at", "n", "q", F.xxhash64("w").alias("h"))
+    # a word that stands only once in all texts meets nothing, but takes its room in the prefix
+    seldom = lambda lines: said(lines).join(top, "h", "left_anti").join(counts, "h").select("at", "n", "q", "h", "c")
+    tokens, covered = _prefixes(seldom(own))
+    # lines that need some of the frequent words as well
+    open_ = own.select("at").join(_bounded(durable(covered)), "at", "left_anti")
+    left = own.join(_bounded(durable(open_)), "at", "left_semi")
+    more, _ = _prefixes(seldom(left).unionByName(said(left).join(top, "h").select("at", "n", "q", "h", "c")))
+    tokens = tokens.unionByName(more).where("c > 1").select(F.col("h").alias("token"), F.struct("at", "n", "pos").alias("x"))
+    lists = tokens.groupBy("token").agg(F.min("x").alias("top"), F.count("*").alias("size")).where("size > 1")
+    multi = durable(tokens.join(lists, "token"))
 
     def filtered(pairs: DataFrame) -> DataFrame:
-        """Length and positional filter of pairs that share a token; distinct pairs, the earlier class first. A set's
-        size is at least its rare first words (d) and at most its shingles (n)."""
+        """Length and positional filter of pairs that share a token; distinct pairs, the earlier line first. ``n`` is at
+        least a set's size; the shingles before a pair's first common token are common to none."""
         x, y = F.col("x"), F.col("y")
-        room = 1 + F.least(x["n"] - x["pos"] - 1, y["n"] - y["pos"] - 1)
-        ok = (100 * x["n"] >= PERCENT * y["d"]) & (100 * y["n"] >= PERCENT * x["d"]) & (room >= _need(x["d"], y["d"])) & (x["k1"] != y["k1"])
-        return pairs.where(ok).select(x["k1"].alias("x_k1"), x["at"].alias("x_at"), y["k1"].alias("y_k1"), y["at"].alias("y_at")).distinct()
+        room = F.least(x["n"] - x["pos"], y["n"] - y["pos"])
+        return pairs.where((x["at"] < y["at"]) & (room >= _need(y["pos"] + 1, x["pos"] + 1))).select(x["at"].alias("x_at"), x["n"].alias("x_n"), y["at"].alias("y_at"), y["n"].alias("y_n")).distinct()
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Of distinct pairs, (k1, k2) of the later class of those that are similar, on full sets."""
+        """Of distinct pairs, the later line (at) of those that are similar, on full sets made anew from the text."""
         pairs = durable(pairs)
-        wanted = pairs.select(F.explode(F.array("x_at", "y_at")).alias("at")).distinct()
-        wanted = durable(wanted.select(F.col("at.id").alias("w_id"), F.col("at.line").alias("w_line")))
-        found = picked(wanted)
-        full = durable(found.select(F.struct("id", "line").alias("at"), F.xxhash64("words").alias("k1"), F.xxhash64("words", F.lit(5)).alias("k2"), F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("words") - K), lambda i: F.xxhash64(*[F.get("words", i + j) for j in range(K)]))).alias("tokens")).dropDuplicates(["at", "k1", "k2"]))
-        side = lambda s: full.select(F.col("k1").alias(f"{s}_k1"), F.col("k2").alias(f"{s}_k2"), F.col("at").alias(f"{s}_at"), F.col("tokens").alias(f"{s}_tokens"))
-        both = pairs.join(side("x"), ["x_k1", "x_at"]).join(side("y"), ["y_k1", "y_at"])
+        wanted = _bounded(durable(pairs.select(F.explode(F.array("x_at", "y_at")).alias("at")).distinct()))
+        tokens = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("words") - K), lambda i: F.xxhash64(*[F.get("words", i + j) for j in range(K)])))
+        full = durable(own.join(wanted, "at", "left_semi").dropDuplicates(["at"]).select("at", tokens.alias("tokens")))
+        side = lambda s: full.select(F.col("at").alias(f"{s}_at"), F.col("tokens").alias(f"{s}_tokens"))
+        a, b = F.size("x_tokens"), F.size("y_tokens")
+        both = pairs.join(side("x"), "x_at").join(side("y"), "y_at").where((100 * a >= PERCENT * b) & (100 * b >= PERCENT * a))
         o = F.size(F.array_intersect("x_tokens", "y_tokens"))
-        return durable(both.where(100 * o >= PERCENT * (F.size("x_tokens") + F.size("y_tokens") - o)).select(F.col("y_k1").alias("k1"), F.col("y_k2").alias("k2")).distinct())
+        return durable(both.where(100 * o >= PERCENT * (a + b - o)).select(F.col("y_at").alias("at")).distinct())
 
-    here = F.struct("at", "k1", "n", "d", "pos")
-    first = multi.groupBy("token").agg(F.min(here).alias("x"), F.count("*").alias("c"))
-    late = verified(filtered(multi.select("token", here.alias("y")).join(first, "token").where("x.at < y.at")))
+    late = verified(filtered(multi.select("token", F.col("top").alias("x"), F.col("x").alias("y"))))
     # what the earliest of each list did not settle meets all that come before it
-    rest = multi.join(first.where("c > 2").select("token", F.col("x.at").alias("top")), "token").where("at > top")
-    open_ = rest.join(late.select("k1").distinct(), "k1", "left_anti").select("token", here.alias("y"))
-    late = late.unionByName(verified(filtered(open_.join(rest.select("token", here.alias("x")), "token").where("x.at < y.at")))).distinct()
+    rest = multi.where("size > 2 and x.at > top.at").select("token", "x")
+    open_ = rest.select("token", F.col("x").alias("y")).join(late, F.col("y.at") == F.col("at"), "left_anti")
+    late = late.unionByName(verified(filtered(open_.join(rest, "token")))).distinct()
     # a class is told by its first occurrence: the later of two is late, with all its occurrences
-    told = classes.join(late.withColumn("late", F.lit(True)), ["k1", "k2"], "left").where("late or at <> last").select("k1", "k2", "at", F.coalesce("late", F.lit(False)).alias("late"))
-    return occurrences.join(told, ["k1", "k2"]).where(F.col("late") | (spot != F.col("at"))).select("id", "line")
+    late = late.select(F.col("at.k1").alias("k1"), F.struct("at.id", "at.line").alias("first"), F.lit(True).alias("late"))
+    told = classes.join(late, ["k1", "first"], "left").where("late or first <> last").select("k1", "k2", "first", F.coalesce("late", F.lit(False)).alias("late"))
+    return occurrences.join(told, ["k1", "k2"]).where(F.col("late") | (spot != F.col("first"))).select("id", "line")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
