@@ -1,12 +1,13 @@
-"""Line dedup by an exact set-similarity join, in DataFrame operations only.
+"""Line dedup by an exact set-similarity join.
 
-A line's tokens are its distinct word shingles (``K`` words, lower-cased), ordered by rarity: by the count and hash of a
-shingle's rarest word. Two sets of Jaccard similarity ``PERCENT``/100 or more share a token in their prefixes of
-n - ceil(n * PERCENT / 100) + 1 tokens, and with it its rarest word; so a line is listed under the rarest words of its
-prefix, and these few words meet instead of all shingles. Counts are exact. The ``FREQUENT`` most frequent words are
-looked at only for the lines that the others do not cover. Candidates that meet pass the length and the positional
-filter, and are verified on the full sets, made anew from the text. A line similar to an earlier one (by id and line
-number) is removed.
+A line's tokens are its distinct word shingles (``K`` words, lower-cased), ordered by rarity: by a shingle's rarest word,
+where the ``FREQUENT`` most frequent words come last, by their exact counts. Two sets of Jaccard similarity
+``PERCENT``/100 or more share a token in their prefixes of n - ceil(n * PERCENT / 100) + 1 tokens. Candidates that meet
+there pass the length and the positional filter, and are verified on the full sets, made anew from the text. A line
+similar to an earlier one (by id and line number) is removed.
+
+Words, shingles and prefixes are made by numpy kernels on Arrow batches: three forms in DataFrame functions alone could
+not meet the limits (README). The join, the filters and the verification are DataFrame operations.
 
 Skew: equal lines become one class by a partial aggregate before anything is joined. Within a token's list each class
 first meets the earliest class only; classes that this doesn't settle then meet all earlier ones, so the answer is exact
@@ -19,18 +20,95 @@ other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, mix, slices, utf8, word_hashes, word_spans
+from .suffix_tree import counted
 
 K, PERCENT, FREQUENT, BROADCAST_ROWS = 5, 80, 65_536, 500_000
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """id, line, words of every line with at least K words."""
-    split = docs.where("id is not null and text is not null").select("id", F.posexplode(F.split(F.lower("text"), "\n")).alias("line", "raw"))
-    return split.select("id", "line", F.split(F.btrim("raw", F.lit(" \t\x0b\f\r")), "[ \\t\\x0B\\f\\r]+").alias("words")).where(F.size("words") >= K)
+    """id, line, raw of every line."""
+    return docs.where("id is not null and text is not null").select("id", F.posexplode(F.split(F.lower("text"), "\n")).alias("line", "raw"))
+
+
+def _words(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Of the lines with at least K words: their rows, the words, the line of each word, and the class key of each line."""
+    data, off = utf8(part.column("raw"))
+    starts, ends, doc = word_spans(data, off)
+    rows = np.flatnonzero(np.bincount(doc, minlength=part.num_rows) >= K)
+    enough = np.isin(doc, rows)
+    words, doc = word_hashes(data, starts, ends)[enough], np.searchsorted(rows, doc[enough])
+    first = np.searchsorted(doc, np.arange(len(rows)))
+    place = (np.arange(len(words)) - first[doc]).astype(np.uint64)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(words + mix(place + np.uint64(77))), dtype=np.uint64)))
+    return rows, words, doc, (sums[np.append(first, len(words))[1:]] - sums[first]).view(np.int64)
+
+
+def _rolled(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes and the places at which they begin."""
+    at = np.flatnonzero(doc[: len(doc) - K + 1] == doc[K - 1 :]) if len(doc) >= K else np.zeros(0, np.int64)
+    out = np.zeros(len(at), np.uint64)
+    for j in range(K):
+        out = mix(out * np.uint64(0x9FB21C651E98DF25) + words[at + j] + np.uint64(j + 1))
+    return out, at
+
+
+def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, "raw"):
+            with np.errstate(over="ignore"):
+                rows, _, _, k1 = _words(part)
+            yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(rows)), part.column("line").take(pa.array(rows)), pa.array(k1)], ["id", "line", "k1"])
+
+
+def _prefixes(top):
+    """Prefix tokens of each line; ``top`` holds the frequent words, sorted, and their ranks (1: the least frequent)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, rank = top.value
+        for batch in batches:
+            for part in slices(batch, "raw"):
+                with np.errstate(over="ignore"):
+                    rows, words, doc, k1 = _words(part)
+                    token, at = _rolled(words, doc)
+                seen = np.minimum(np.searchsorted(often, words), max(len(often) - 1, 0))
+                order = words >> np.uint64(17)
+                if len(often):
+                    order |= np.where(often[seen] == words, rank[seen], 0).astype(np.uint64) << np.uint64(47)
+                rarest = order[at]
+                for j in range(1, K):
+                    rarest = np.minimum(rarest, order[at + j])
+                line = doc[at]
+                by = np.lexsort((token, rarest, line))
+                token, line = token[by], line[by]
+                new = np.ones(len(by), bool)
+                new[1:] = (token[1:] != token[:-1]) | (line[1:] != line[:-1])
+                token, line = token[new], line[new]
+                n = np.bincount(line, minlength=len(rows))
+                pos = np.arange(len(line)) - (np.cumsum(n) - n)[line]
+                keep = pos <= (n + (-n * PERCENT) // 100)[line]
+                token, line, pos = token[keep], line[keep], pos[keep]
+                whole = pa.array(rows[line])
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), part.column("id").take(whole), part.column("line").take(whole), pa.array(k1[line]), pa.array(n[line].astype(np.int32)), pa.array(pos.astype(np.int32))], ["token", "id", "line", "k1", "n", "pos"])
+
+    return run
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, "raw"):
+            with np.errstate(over="ignore"):
+                rows, words, doc, k1 = _words(part)
+                token, at = _rolled(words, doc)
+            sets = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[at], np.arange(len(rows) + 1)).astype(np.int32)), pa.array(token.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(rows)), part.column("line").take(pa.array(rows)), pa.array(k1), sets], ["id", "line", "k1", "tokens"])
 
 
 def _need(a: Column, b: Column) -> Column:
@@ -43,66 +121,47 @@ def _bounded(few: DataFrame) -> DataFrame:
     return F.broadcast(few) if few.count() <= BROADCAST_ROWS else few
 
 
-def _prefixes(words: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From (at, n, q, h, c), words h of count c at places q of lines of n shingles: the tokens of each line's prefix
-    (at, n, q, h, c, pos) and the lines that these words cover (at).
-
-    A word covers the shingles around its first place. These are different shingles for different places, so once the
-    rarest words cover as many as the prefix is long, every shingle of the prefix has one of them as its rarest word.
-    """
-    words = words.repartition("at")  # serves all that follows
-    words = words.groupBy("at", "n", "h", "c").agg(F.min("q").alias("q"))
-    spots = words.select("at", "n", "c", "h", F.explode(F.sequence(F.greatest(F.col("q") - (K - 1), F.lit(0)), F.least(F.col("q"), F.col("n") - 1))).alias("s"))
-    rarest = spots.groupBy("at", "n", "s").agg(F.min(F.struct("c", "h")).alias("m"))
-    length = (F.col("n") - F.ceil(F.col("n") * PERCENT / F.lit(100.0) - F.lit(1e-9)) + 1).cast("int")
-    ranked = rarest.groupBy("at", "n").agg(F.sort_array(F.collect_list("m")).alias("ms"))  # bounded by the line
-    covered = ranked.where(F.size("ms") >= length).select("at", F.slice("ms", F.lit(1), length).alias("ms"))
-    chosen = words.join(covered, "at").where(F.struct("c", "h") <= F.element_at("ms", -1))
-    before = F.size(F.filter("ms", lambda m: m < F.struct("c", "h")))
-    tokens = durable(chosen.select("at", "n", "q", "h", "c", before.alias("pos")))
-    return tokens, tokens.select("at").distinct()
+def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The ``FREQUENT`` most frequent words by exact counts (16 bytes each come to the driver), sorted, with ranks."""
+    words = docs.where("id is not null").select(F.lower("text").alias("text")).mapInArrow(counted, "word long, c long")
+    got = words.groupBy("word").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "word").limit(FREQUENT).toArrow()
+    word = got.column("word").to_numpy().view(np.uint64)
+    by = np.argsort(word)
+    return word[by], (len(word) - np.arange(len(word)))[by]
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(id, line) of every line of ``docs`` (id, text) that goes."""
-    spot = F.struct("id", "line")
-    all_lines = _lines(docs).select("id", "line", "words", F.xxhash64("words").alias("k1"), F.xxhash64("words", F.lit(5)).alias("k2"))
-    occurrences = durable(all_lines.select("id", "line", "k1", "k2"))
+    spot, lines = F.struct("id", "line"), _lines(docs)
+    top = docs.sparkSession.sparkContext.broadcast(_frequent(docs))
+    occurrences = durable(lines.mapInArrow(_classes, "id long, line int, k1 long"))
     # a class of equal lines: its first and last occurrence; the first stands for it
-    classes = durable(occurrences.groupBy("k1", "k2").agg(F.min(spot).alias("first"), F.max(spot).alias("last")))
-    several = _bounded(classes.where("first <> last").select("k1", "k2", "first"))
-    own = all_lines.join(several, ["k1", "k2"], "left").where(F.col("first").isNull() | (F.col("first") == spot))
-    own = own.select(F.struct("id", "line", "k1").alias("at"), (F.size("words") - (K - 1)).alias("n"), "words")
-    counts = durable(own.select(F.explode("words").alias("w")).groupBy(F.xxhash64("w").alias("h")).agg(F.count("*").alias("c")))
-    top = F.broadcast(durable(counts.orderBy(F.desc("c"), F.desc("h")).limit(FREQUENT)))  # 16 bytes a row
-    said = lambda lines: lines.select("at", "n", F.posexplode("words").alias("q", "w")).select("at", "n", "q", F.xxhash64("w").alias("h"))
-    # a word that stands only once in all texts meets nothing, but takes its room in the prefix
-    seldom = lambda lines: said(lines).join(top, "h", "left_anti").join(counts, "h").select("at", "n", "q", "h", "c")
-    tokens, covered = _prefixes(seldom(own))
-    # lines that need some of the frequent words as well
-    open_ = own.select("at").join(_bounded(durable(covered)), "at", "left_anti")
-    left = own.join(_bounded(durable(open_)), "at", "left_semi")
-    more, _ = _prefixes(seldom(left).unionByName(said(left).join(top, "h").select("at", "n", "q", "h", "c")))
-    tokens = tokens.unionByName(more).where("c > 1").select(F.col("h").alias("token"), F.struct("at", "n", "pos").alias("x"))
-    lists = tokens.groupBy("token").agg(F.min("x").alias("top"), F.count("*").alias("size")).where("size > 1")
-    multi = durable(tokens.join(lists, "token"))
+    classes = durable(occurrences.groupBy("k1").agg(F.min(spot).alias("first"), F.max(spot).alias("last")).where("first <> last"))
+    several = _bounded(classes.select("k1", "first"))
+    tokens = lines.mapInArrow(_prefixes(top), "token long, id long, line int, k1 long, n int, pos int")
+    tokens = tokens.join(several, "k1", "left").where(F.col("first").isNull() | (F.col("first") == spot))
+    tokens = tokens.select("token", F.struct(F.struct("id", "line", "k1").alias("at"), "n", "pos").alias("x"))
+    # one exchange; a line has each token once, so a token holds at most one row of each class
+    of = Window.partitionBy("token")
+    multi = durable(tokens.withColumn("size", F.count("*").over(of)).withColumn("top", F.min("x").over(of)).where("size > 1"))
 
     def filtered(pairs: DataFrame) -> DataFrame:
-        """Length and positional filter of pairs that share a token; distinct pairs, the earlier line first. ``n`` is at
-        least a set's size; the shingles before a pair's first common token are common to none."""
+        """Length and positional filter of pairs that share a token; distinct pairs, the earlier line first."""
         x, y = F.col("x"), F.col("y")
         room = F.least(x["n"] - x["pos"], y["n"] - y["pos"])
-        return pairs.where((x["at"] < y["at"]) & (room >= _need(y["pos"] + 1, x["pos"] + 1))).select(x["at"].alias("x_at"), x["n"].alias("x_n"), y["at"].alias("y_at"), y["n"].alias("y_n")).distinct()
+        ok = (x["at"] < y["at"]) & (100 * x["n"] >= PERCENT * y["n"]) & (100 * y["n"] >= PERCENT * x["n"]) & (room >= _need(x["n"], y["n"]))
+        return pairs.where(ok).select(x["at"].alias("x_at"), y["at"].alias("y_at")).distinct()
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Of distinct pairs, the later line (at) of those that are similar, on full sets made anew from the text."""
         pairs = durable(pairs)
-        wanted = _bounded(durable(pairs.select(F.explode(F.array("x_at", "y_at")).alias("at")).distinct()))
-        tokens = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("words") - K), lambda i: F.xxhash64(*[F.get("words", i + j) for j in range(K)])))
-        full = durable(own.join(wanted, "at", "left_semi").dropDuplicates(["at"]).select("at", tokens.alias("tokens")))
+        wanted = durable(pairs.select(F.explode(F.array("x_at", "y_at")).alias("at")).distinct())
+        found = lines.join(_bounded(wanted.select(F.col("at.id").alias("id"), F.col("at.line").alias("line")).distinct()), ["id", "line"], "left_semi")
+        full = found.mapInArrow(_sets, "id long, line int, k1 long, tokens array<long>")
+        full = durable(full.select(F.struct("id", "line", "k1").alias("at"), F.array_distinct("tokens").alias("tokens")).dropDuplicates(["at"]))
         side = lambda s: full.select(F.col("at").alias(f"{s}_at"), F.col("tokens").alias(f"{s}_tokens"))
         a, b = F.size("x_tokens"), F.size("y_tokens")
-        both = pairs.join(side("x"), "x_at").join(side("y"), "y_at").where((100 * a >= PERCENT * b) & (100 * b >= PERCENT * a))
+        both = pairs.join(side("x"), "x_at").join(side("y"), "y_at")
         o = F.size(F.array_intersect("x_tokens", "y_tokens"))
         return durable(both.where(100 * o >= PERCENT * (a + b - o)).select(F.col("y_at").alias("at")).distinct())
 
@@ -112,9 +171,9 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     open_ = rest.select("token", F.col("x").alias("y")).join(late, F.col("y.at") == F.col("at"), "left_anti")
     late = late.unionByName(verified(filtered(open_.join(rest, "token")))).distinct()
     # a class is told by its first occurrence: the later of two is late, with all its occurrences
-    late = late.select(F.col("at.k1").alias("k1"), F.struct("at.id", "at.line").alias("first"), F.lit(True).alias("late"))
-    told = classes.join(late, ["k1", "first"], "left").where("late or first <> last").select("k1", "k2", "first", F.coalesce("late", F.lit(False)).alias("late"))
-    return occurrences.join(told, ["k1", "k2"]).where(F.col("late") | (spot != F.col("first"))).select("id", "line")
+    late = late.select(F.col("at.k1").alias("k1"), F.lit(True).alias("late"))
+    told = classes.select("k1", "first").join(late, "k1", "full").select("k1", "first", F.coalesce("late", F.lit(False)).alias("late"))
+    return occurrences.join(told, "k1").where(F.col("late") | (spot != F.col("first"))).select("id", "line")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

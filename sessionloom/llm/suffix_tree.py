@@ -203,7 +203,7 @@ def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return doc, word_hashes(data, starts, ends)
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Word counts of a task's training texts: a partial aggregate, given out whenever it grows large."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     for batch in batches:
@@ -259,7 +259,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tree = learn(rows.where("not held_out"))
     total, ends_c = rows.agg(F.sum(F.octet_length("text")), F.count(F.when(~F.col("held_out"), 1))).first()
     blocks = max(1, -(-(total or 0) // BLOCK_BYTES))
-    per_word = durable(rows.where("not held_out").select("text").mapInArrow(_counted, "word long, c long").groupBy("word").agg(F.sum("c").alias("n")))
+    per_word = durable(rows.where("not held_out").select("text").mapInArrow(counted, "word long, c long").groupBy("word").agg(F.sum("c").alias("n")))
     # one exchange of the texts by block serves both uses
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", F.when(F.col("id").isNull(), F.xxhash64("text"))), F.lit(blocks)).cast("int")).repartition(blocks, "block")
     known = dealt.mapInArrow(_vocabulary, "block int, word long").join(per_word, "word").select("block", "word", F.col("n").alias("c"))
