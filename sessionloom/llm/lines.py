@@ -62,7 +62,7 @@ def _rolled(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, "raw"):
+        for part in slices(batch, "raw", 1 << 20):
             with np.errstate(over="ignore"):
                 rows, _, _, k1 = _words(part)
             yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(rows)), part.column("line").take(pa.array(rows)), pa.array(k1)], ["id", "line", "k1"])
@@ -74,7 +74,7 @@ def _prefixes(top):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, rank = top.value
         for batch in batches:
-            for part in slices(batch, "raw"):
+            for part in slices(batch, "raw", 1 << 20):
                 with np.errstate(over="ignore"):
                     rows, words, doc, k1 = _words(part)
                     token, at = _rolled(words, doc)
@@ -103,7 +103,7 @@ def _prefixes(top):
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, "raw"):
+        for part in slices(batch, "raw", 1 << 20):
             with np.errstate(over="ignore"):
                 rows, words, doc, k1 = _words(part)
                 token, at = _rolled(words, doc)
