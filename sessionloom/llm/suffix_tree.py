@@ -16,7 +16,8 @@ model is uniform; a null id is never held out; repeated rows are scored (and lea
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -91,61 +92,81 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], ["gram", "c"])
 
 
+#: Transitions and distributions of the tree that this process used last, by its key.
+_opened: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+
 class SuffixTree:
     """Automaton over all frequent contexts; a context that the divergence test drops scores as its longest kept suffix."""
 
-    def __init__(self, levels: list[dict[int, dict[int, int]]]):
-        """levels[d]: context of d symbols -> next symbol -> count."""
-        uniform = np.full(256, 1 / 256)
-        ids = {(0, 0): 0}
-        prob, self.kept = [uniform], 0
-        if levels and levels[0]:
-            c = np.zeros(256)
-            for s, n in levels[0].get(0, {}).items():
-                c[s] = n
-            prob[0] = (c + 1 / 256) / (c.sum() + 1)
-        for d in range(1, len(levels)):
-            mask = (1 << 8 * (d - 1)) - 1
-            for ctx in sorted(levels[d]):
-                parent = ids.get((d - 1, ctx & mask))
+    def __init__(self, levels: Iterable[dict[int, dict[int, int]]]):
+        """Of each level in turn, contexts of d symbols -> next symbol -> count. Only one level is held at a time, and
+        only the distributions that are kept; the transitions are made where texts are scored, not on the driver."""
+        ids, rows, table = {0: 0}, [0], []
+        self.depth, self.ctx, self.kept = [0], [0], 0
+        up = {0: np.full(256, 1 / 256)}
+        for d, level in enumerate(levels):
+            if d == 0:
+                c = np.zeros(256)
+                for s, n in level.get(0, {}).items():
+                    c[s] = n
+                up[0] = (c + 1 / 256) / (c.sum() + 1)
+                table.append(np.log10(up[0]).astype(np.float32))
+                continue
+            mask, deeper, probs = (1 << 8 * (d - 1)) - 1, {}, {}
+            for ctx in sorted(level):
+                parent = ids.get(ctx & mask)
                 if parent is None:
                     continue
-                follow = levels[d][ctx]
+                follow, row = level[ctx], rows[parent]
                 c = np.zeros(256)
                 c[list(follow)] = list(follow.values())
-                n, up = c.sum(), prob[parent]
-                seen = c > 0
-                gain = float((c[seen] * np.log(c[seen] / n / up[seen])).sum())
-                ids[(d, ctx)] = len(prob)
+                n, seen = c.sum(), c > 0
+                gain = float((c[seen] * np.log(c[seen] / n / up[row][seen])).sum())
+                deeper[ctx] = len(rows)
                 if gain > 0.5 * seen.sum() * np.log(n + 1):
                     strength = float(seen.sum())
-                    prob.append((c + strength * up) / (n + strength))
+                    probs[len(table)] = (c + strength * up[row]) / (n + strength)
+                    rows.append(len(table))
+                    table.append(np.log10(probs[len(table)]).astype(np.float32))
                     self.kept += 1
                 else:
-                    prob.append(up)
-        self.log = np.log10(np.array(prob)).astype(np.float32)
-        depth = np.array([d for d, _ in ids])
-        ctx = np.array([c for _, c in ids], np.int64)
-        step = np.zeros((len(prob), 256), np.int32)
-        known = {d: (np.sort(ctx[depth == d]), np.flatnonzero(depth == d)[np.argsort(ctx[depth == d])]) for d in range(1, len(levels))}
+                    probs[row] = up[row]
+                    rows.append(row)
+                self.depth.append(d)
+                self.ctx.append(ctx)
+            ids, up = deeper, probs
+        if not table:
+            table.append(np.log10(up[0]).astype(np.float32))
+        self.rows, self.table = np.array(rows, np.int32), np.array(table)
+        self.depth, self.ctx, self.key = np.array(self.depth), np.array(self.ctx, np.int64), uuid.uuid4().hex
+
+    def _open(self) -> None:
+        """Transitions between states, and the distribution of each."""
+        step = np.zeros((len(self.rows), 256), np.int32)
         symbols = np.arange(256, dtype=np.int64)
-        for d in range(1, len(levels)):  # deeper matches overwrite shallower ones
-            keys, which = known[d]
-            if not len(keys):
-                continue
-            rows = np.flatnonzero(depth >= d - 1)
-            want = (ctx[rows][:, None] << 8 | symbols[None, :]) & ((1 << 8 * d) - 1)
-            at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-            hit = keys[at] == want
-            got = step[rows]
-            got[hit] = which[at[hit]]
-            step[rows] = got
-        self.step = step.ravel()
-        self.log = self.log.ravel()
+        for d in range(1, int(self.depth.max()) + 1):  # deeper matches overwrite shallower ones
+            which = np.flatnonzero(self.depth == d)
+            which = which[np.argsort(self.ctx[which])]
+            keys = self.ctx[which]
+            for rows in np.array_split(at := np.flatnonzero(self.depth >= d - 1), 1 + len(at) // 4096):
+                want = (self.ctx[rows][:, None] << 8 | symbols[None, :]) & ((1 << 8 * d) - 1)
+                place = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+                step[rows] = np.where(keys[place] == want, which[place], step[rows])
+        self.step, self.log = step.ravel(), self.table[self.rows].ravel()
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("step", "log")}
 
     def score(self, s: np.ndarray, at: np.ndarray, lane: int = 512) -> np.ndarray:
         """log10 probability of each text of a stream. A state depends on the last DEPTH symbols alone, so lanes of
         the stream run side by side after that many symbols of warm-up."""
+        if not hasattr(self, "step"):
+            if self.key not in _opened:  # a worker process serves many tasks
+                self._open()
+                _opened.clear()
+                _opened[self.key] = self.step, self.log
+            self.step, self.log = _opened[self.key]
         lanes = -(-len(s) // lane)
         padded = np.full(DEPTH + lanes * lane, END, np.uint8)
         padded[DEPTH : DEPTH + len(s)] = s
@@ -167,15 +188,16 @@ def learn(train: DataFrame) -> SuffixTree:
     grams = durable(train.select("text").mapInArrow(_grams, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c")))
     total = grams.agg(F.sum("c")).first()[0] or 0
     least = max(2, int(np.ceil(SHARE * total)))
-    levels: list[dict[int, dict[int, int]]] = []
-    for d in range(DEPTH + 1):
+
+    def level(d: int) -> dict[int, dict[int, int]]:
         gram = F.col("gram").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1))
         per = grams.groupBy(gram.alias("g")).agg(F.sum("c").alias("c"))
         ctx = F.shiftright("g", 8)
         # at most 256 symbols follow a context, and at most 1 / SHARE contexts are frequent
         got = per.groupBy(ctx.alias("ctx")).agg(F.sum("c").alias("n"), F.collect_list(F.struct((F.col("g").bitwiseAND(F.lit(255))).cast("int").alias("s"), "c")).alias("next")).where(F.col("n") >= (0 if d == 0 else least)).select("ctx", F.transform("next", lambda x: x["s"]).alias("s"), F.transform("next", lambda x: x["c"]).alias("c")).toArrow()
-        levels.append({k: dict(zip(s, c, strict=True)) for k, s, c in zip(*(col.to_pylist() for col in got.columns), strict=True)})
-    return SuffixTree(levels)
+        return {k: dict(zip(s, c, strict=True)) for k, s, c in zip(*(col.to_pylist() for col in got.columns), strict=True)}
+
+    return SuffixTree(level(d) for d in range(DEPTH + 1))
 
 
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
