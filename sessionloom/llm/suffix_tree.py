@@ -163,8 +163,8 @@ class SuffixTree:
         the stream run side by side after that many symbols of warm-up."""
         if not hasattr(self, "step"):
             if self.key not in _opened:  # a worker process serves many tasks
-                self._open()
                 _opened.clear()
+                self._open()
                 _opened[self.key] = self.step, self.log
             self.step, self.log = _opened[self.key]
         lanes = -(-len(s) // lane)
