@@ -114,7 +114,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """64-bit polynomial hash of each lower-cased word, from one prefix sum over the bytes."""
     n = len(data)
     if len(_powers[0]) < n + 1:
-        size = max(n + 1, 5 << 20)
+        size = 1 << max(n, 1 << 19).bit_length()
         for k, base in enumerate((_BASE, _BASE_INV)):
             p = np.full(size, base, np.uint64)
             p[0] = 1

@@ -6,7 +6,7 @@ where the ``FREQUENT`` most frequent words come last, by their exact counts. Two
 there pass the length and the positional filter, and are verified on the full sets, made anew from the text. A line
 similar to an earlier one (by id and line number) is removed.
 
-Words, shingles and prefixes are made by numpy kernels on Arrow batches: three forms in DataFrame functions alone could
+Shingles and prefixes are made by numpy kernels on Arrow batches: three forms in DataFrame functions alone could
 not meet the limits (README). The join, the filters and the verification are DataFrame operations.
 
 Skew: equal lines become one class by a partial aggregate before anything is joined. Within a token's list each class
@@ -32,23 +32,21 @@ from .suffix_tree import counted
 
 K, PERCENT, FREQUENT, BROADCAST_ROWS = 5, 80, 65_536, 500_000
 
+#: K words; possessive, so a long line is read once.
+ENOUGH = r"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){%d}[^\x20\x09-\x0D]" % (K - 1)
+
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """id, line, raw of every line."""
-    return docs.where("id is not null and text is not null").select("id", F.posexplode(F.split(F.lower("text"), "\n")).alias("line", "raw"))
+    """id, line, raw, and the class key k1, of every line of at least K words."""
+    each = docs.where("id is not null and text is not null").select("id", F.posexplode(F.split(F.lower("text"), "\n")).alias("line", "raw"))
+    return each.where(F.col("raw").rlike(ENOUGH)).withColumn("k1", F.xxhash64("raw"))
 
 
-def _words(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    """Of the lines with at least K words: their rows, the words, the line of each word, and the class key of each line."""
+def _words(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The words and the line of each."""
     data, off = utf8(part.column("raw"))
     starts, ends, doc = word_spans(data, off)
-    rows = np.flatnonzero(np.bincount(doc, minlength=part.num_rows) >= K)
-    enough = np.isin(doc, rows)
-    words, doc = word_hashes(data, starts, ends)[enough], np.searchsorted(rows, doc[enough])
-    first = np.searchsorted(doc, np.arange(len(rows)))
-    place = (np.arange(len(words)) - first[doc]).astype(np.uint64)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(words + mix(place + np.uint64(77))), dtype=np.uint64)))
-    return rows, words, doc, (sums[np.append(first, len(words))[1:]] - sums[first]).view(np.int64)
+    return word_hashes(data, starts, ends), doc
 
 
 def _rolled(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,14 +58,6 @@ def _rolled(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out, at
 
 
-def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch, "raw", 1 << 20):
-            with np.errstate(over="ignore"):
-                rows, _, _, k1 = _words(part)
-            yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(rows)), part.column("line").take(pa.array(rows)), pa.array(k1)], ["id", "line", "k1"])
-
-
 def _prefixes(top):
     """Prefix tokens of each line; ``top`` holds the frequent words, sorted, and their ranks (1: the least frequent)."""
 
@@ -76,7 +66,7 @@ def _prefixes(top):
         for batch in batches:
             for part in slices(batch, "raw", 1 << 20):
                 with np.errstate(over="ignore"):
-                    rows, words, doc, k1 = _words(part)
+                    words, doc = _words(part)
                     token, at = _rolled(words, doc)
                 seen = np.minimum(np.searchsorted(often, words), max(len(often) - 1, 0))
                 order = words >> np.uint64(17)
@@ -91,12 +81,12 @@ def _prefixes(top):
                 new = np.ones(len(by), bool)
                 new[1:] = (token[1:] != token[:-1]) | (line[1:] != line[:-1])
                 token, line = token[new], line[new]
-                n = np.bincount(line, minlength=len(rows))
+                n = np.bincount(line, minlength=part.num_rows)
                 pos = np.arange(len(line)) - (np.cumsum(n) - n)[line]
                 keep = pos <= (n + (-n * PERCENT) // 100)[line]
                 token, line, pos = token[keep], line[keep], pos[keep]
-                whole = pa.array(rows[line])
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), part.column("id").take(whole), part.column("line").take(whole), pa.array(k1[line]), pa.array(n[line].astype(np.int32)), pa.array(pos.astype(np.int32))], ["token", "id", "line", "k1", "n", "pos"])
+                whole = pa.array(line)
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), part.column("id").take(whole), part.column("line").take(whole), part.column("k1").take(whole), pa.array(n[line].astype(np.int32)), pa.array(pos.astype(np.int32))], ["token", "id", "line", "k1", "n", "pos"])
 
     return run
 
@@ -105,10 +95,10 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "raw", 1 << 20):
             with np.errstate(over="ignore"):
-                rows, words, doc, k1 = _words(part)
+                words, doc = _words(part)
                 token, at = _rolled(words, doc)
-            sets = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[at], np.arange(len(rows) + 1)).astype(np.int32)), pa.array(token.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(rows)), part.column("line").take(pa.array(rows)), pa.array(k1), sets], ["id", "line", "k1", "tokens"])
+            sets = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[at], np.arange(part.num_rows + 1)).astype(np.int32)), pa.array(token.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("line"), part.column("k1"), sets], ["id", "line", "k1", "tokens"])
 
 
 def _need(a: Column, b: Column) -> Column:
@@ -134,7 +124,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     """(id, line) of every line of ``docs`` (id, text) that goes."""
     spot, lines = F.struct("id", "line"), _lines(docs)
     top = docs.sparkSession.sparkContext.broadcast(_frequent(docs))
-    occurrences = durable(lines.mapInArrow(_classes, "id long, line int, k1 long"))
+    occurrences = durable(lines.select("id", "line", "k1"))
     # a class of equal lines: its first and last occurrence; the first stands for it
     classes = durable(occurrences.groupBy("k1").agg(F.min(spot).alias("first"), F.max(spot).alias("last")).where("first <> last"))
     several = _bounded(classes.select("k1", "first"))

@@ -229,9 +229,9 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Word counts of a task's training texts: a partial aggregate, given out whenever it grows large."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", 1 << 20):
             held.append(np.unique(_words(part.column("text"))[1], return_counts=True))
-            if len(held) > 8:
+            if len(held) > 16:
                 held[:] = [_summed(held)]
             if len(held[0][0]) > 1_000_000:
                 k, c = _summed(held)
