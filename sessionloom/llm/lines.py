@@ -9,9 +9,9 @@ similar to an earlier one (by id and line number) is removed.
 Shingles and prefixes are made by numpy kernels on Arrow batches: three forms in DataFrame functions alone could
 not meet the limits (README). The join, the filters and the verification are DataFrame operations.
 
-Skew: equal lines become one class by a partial aggregate before anything is joined. Within a token's list each class
-first meets the earliest class only; classes that this doesn't settle then meet all earlier ones, so the answer is exact
-and a group of near copies costs one pair a line, not all pairs.
+Skew: equal lines become one class by a partial aggregate before anything is joined. Each class first meets one other
+only, the earliest in its tokens' lists; classes that this doesn't settle then meet all earlier ones, so the answer is
+exact and a group of near copies costs one pair a line, not all pairs.
 
 Defined results: lines of fewer than ``K`` words take no part and stay; null texts have no lines; an exact copy of a
 line at the same id and number (a repeated row) is the same occurrence, and stays; rows with a null id take no part;
@@ -136,11 +136,11 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     multi = durable(tokens.withColumn("size", F.count("*").over(of)).withColumn("top", F.min("x").over(of)).where("size > 1"))
 
     def filtered(pairs: DataFrame) -> DataFrame:
-        """Length and positional filter of pairs that share a token; distinct pairs, the earlier line first."""
+        """Length and positional filter of pairs that share a token; the earlier line first."""
         x, y = F.col("x"), F.col("y")
         room = F.least(x["n"] - x["pos"], y["n"] - y["pos"])
         ok = (x["at"] < y["at"]) & (100 * x["n"] >= PERCENT * y["n"]) & (100 * y["n"] >= PERCENT * x["n"]) & (room >= _need(x["n"], y["n"]))
-        return pairs.where(ok).select(x["at"].alias("x_at"), y["at"].alias("y_at")).distinct()
+        return pairs.where(ok).select(x["at"].alias("x_at"), y["at"].alias("y_at"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Of distinct pairs, the later line (at) of those that are similar, on full sets made anew from the text."""
@@ -155,11 +155,12 @@ def removed_lines(docs: DataFrame) -> DataFrame:
         o = F.size(F.array_intersect("x_tokens", "y_tokens"))
         return durable(both.where(100 * o >= PERCENT * (a + b - o)).select(F.col("y_at").alias("at")).distinct())
 
-    late = verified(filtered(multi.select("token", F.col("top").alias("x"), F.col("x").alias("y"))))
-    # what the earliest of each list did not settle meets all that come before it
-    rest = multi.where("size > 2 and x.at > top.at").select("token", "x")
-    open_ = rest.select("token", F.col("x").alias("y")).join(late, F.col("y.at") == F.col("at"), "left_anti")
-    late = late.unionByName(verified(filtered(open_.join(rest, "token")))).distinct()
+    # of the earliest lines of its lists, a line meets the earliest: one pair a line
+    tops = filtered(multi.select("token", F.col("top").alias("x"), F.col("x").alias("y")))
+    late = verified(tops.groupBy("y_at").agg(F.min("x_at").alias("x_at")))
+    # what that did not settle meets all that come before it in any of its lists
+    open_ = multi.where("x.at > top.at").select("token", F.col("x").alias("y")).join(late, F.col("y.at") == F.col("at"), "left_anti")
+    late = late.unionByName(verified(filtered(open_.join(multi.select("token", "x"), "token")).distinct())).distinct()
     # a class is told by its first occurrence: the later of two is late, with all its occurrences
     late = late.select(F.col("at.k1").alias("k1"), F.lit(True).alias("late"))
     told = classes.select("k1", "first").join(late, "k1", "full").select("k1", "first", F.coalesce("late", F.lit(False)).alias("late"))
