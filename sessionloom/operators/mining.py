@@ -40,3 +40,35 @@ def phrase_hits(texts: DataFrame, phrases: list[str], least: int = 3, most_norma
     each = texts.select("label", F.explode(F.array(*[F.when(F.contains(F.lower("text"), F.lit(p.lower())), F.lit(p)) for p in phrases])).alias("phrase")).where("phrase is not null")
     out = each.groupBy("phrase").agg(F.sum("label").alias("anom_sessions"), F.sum(1 - F.col("label")).alias("norm_sessions"))
     return out.where((F.col("anom_sessions") >= least) & (F.col("norm_sessions") <= most_normal)).withColumn("confidence", F.when(F.col("norm_sessions") == 0, 0.9).otherwise(0.75))
+
+
+def seq_ngrams(s: DataFrame, keep: list[str], sizes: tuple[int, ...] = (2, 3)) -> DataFrame:
+    """keep, n, gram: each contiguous n-gram of ``event_seq``, by a projection, without a shuffle."""
+    q = F.col("event_seq")
+
+    def of(n: int):
+        each = F.transform(F.sequence(F.lit(1), F.size(q) - n + 1), lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(q, i, n).cast("array<string>"), " ").alias("gram")))
+        return F.when(F.size(q) >= n, each)
+
+    grams = [of(n) for n in sizes]
+    return s.select(*keep, F.explode(F.flatten(F.array_compact(F.array(*grams)))).alias("g")).select(*keep, "g.n", "g.gram")
+
+
+def representative_grams(s: DataFrame, cluster: str, tops: dict[int, int]) -> DataFrame:
+    """The ``tops[n]`` most common n-grams of each cluster; one that several clusters share stays with the first."""
+    counts = seq_ngrams(s, [cluster], tuple(tops)).groupBy(cluster, "n", "gram").agg(F.count("*").alias("support"))
+    rank = F.row_number().over(Window.partitionBy(cluster, "n").orderBy(F.desc("support"), "gram"))
+    most = F.coalesce(*[F.when(F.col("n") == n, F.lit(k)) for n, k in tops.items()])
+    best = counts.withColumn("_rank", rank).where(F.col("_rank") <= most)
+    first = F.row_number().over(Window.partitionBy("n", "gram").orderBy(cluster))
+    return best.withColumn("_first", first).where("_first = 1").select(cluster, "n", "gram", "support")
+
+
+def rare_grams(s: DataFrame, supports: dict[int, int]) -> DataFrame:
+    """session_id, hits: occurrences of n-grams whose support over all sessions is below ``supports[n]``."""
+    grams = seq_ngrams(s, ["session_id"], tuple(supports))
+    per = grams.groupBy("session_id", "n", "gram").agg(F.count("*").alias("c"))
+    least = F.coalesce(*[F.when(F.col("n") == n, F.lit(k)) for n, k in supports.items()])
+    often = per.groupBy("n", "gram").agg(F.sum("c").alias("support")).where(F.col("support") >= least)
+    hits = per.join(often, ["n", "gram"], "left_anti").groupBy("session_id").agg(F.sum("c").alias("hits"))
+    return s.select("session_id").join(hits, "session_id", "left").select("session_id", F.coalesce("hits", F.lit(0)).alias("hits"))

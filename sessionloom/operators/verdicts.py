@@ -80,3 +80,25 @@ def knn_cosine(queries: DataFrame, table: DataFrame, k: int) -> DataFrame:
     """A fixed small query set (query_id, q) against all rows (vec_id, embedding)."""
     near = table.join(F.broadcast(queries), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", cosine(F.col("q"), F.col("embedding")).alias("similarity"))
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))).where(F.col("rank") <= k)
+
+
+def leg_stats(df: DataFrame, legs: dict[str, Column]) -> DataFrame:
+    """leg, idx, tp, fp, fn of every 0/1 leg against ``label``: one pass, whatever the number of legs."""
+    each = df.select("label", F.explode(F.array(*[F.struct(F.lit(i).alias("idx"), F.lit(n).alias("leg"), c.cast("int").alias("v")) for i, (n, c) in enumerate(legs.items())])).alias("x"))
+    v, y = F.col("x.v"), F.col("label")
+    return each.groupBy("x.leg", "x.idx").agg(F.sum(v * y).alias("tp"), F.sum(v * (1 - y)).alias("fp"), F.sum((1 - v) * y).alias("fn"))
+
+
+def best_strategy(df: DataFrame, legs: list[Column]) -> DataFrame:
+    """The fusion with the best F1 on validation sessions, of or, and, vote2..; the first of equals."""
+    ways = ["or", "and", *(f"vote{k}" for k in range(2, len(legs)))]
+    stats = leg_stats(df, {w: fuse(legs, w) for w in ways})
+    double = 2.0 * F.col("tp")
+    f1 = F.when(F.col("tp") > 0, double / (double + F.col("fp") + F.col("fn"))).otherwise(0.0)
+    return stats.withColumn("f1", f1).orderBy(F.desc("f1"), "idx").limit(1).select(F.col("leg").alias("strategy"), "f1")
+
+
+def coverage(items: DataFrame, judged: DataFrame, key: str, by: str) -> DataFrame:
+    """n and the share of items that have a judgment, by group."""
+    has = judged.select(key).distinct().withColumn("_has", F.lit(1))
+    return items.select(key, by).join(has, key, "left").groupBy(by).agg(F.count("*").alias("n"), F.avg(F.coalesce("_has", F.lit(0))).alias("coverage"))

@@ -289,6 +289,40 @@ def explain_sessions(spark, d):
     return f.select("session_id", "label", F.lit(1).alias("detected"), F.array_join("fired", ",").alias("rules"), shown.alias("ngrams"))
 
 
+@query(FIRED + ", l as (select unnest([struct_pack(leg := 'r0', v := r0::int), struct_pack(leg := 'r1', v := r1::int), struct_pack(leg := 'r2', v := r2::int)]) x, label from f) select x.leg leg, cast(sum(x.v * label) as bigint) tp, cast(sum(x.v * (1 - label)) as bigint) fp, cast(sum((1 - x.v) * label) as bigint) fn from l group by 1")
+def rule_val_stats(spark, d):
+    return V.leg_stats(_legs(spark, d), {f"r{i}": F.col(f"r{i}") for i in range(3)}).select("leg", "tp", "fp", "fn")
+
+
+@query(FIRED + """, l as (select unnest([struct_pack(i := 0, w := 'or', v := (r0 or r1 or r2)::int), struct_pack(i := 1, w := 'and', v := (r0 and r1 and r2)::int), struct_pack(i := 2, w := 'vote2', v := (r0::int + r1::int + r2::int >= 2)::int)]) x, label from f),
+ m as (select x.i i, x.w w, sum(x.v * label) tp, sum(x.v * (1 - label)) fp, sum((1 - x.v) * label) fn from l group by 1, 2), b as (select i, w, case when tp > 0 then 2.0::double * tp / (2 * tp + fp + fn) else 0 end f1 from m) select w strategy, round(f1, 9) f1 from b order by b.f1 desc, i limit 1""")
+def fusion_tuning(spark, d):
+    return V.best_strategy(_legs(spark, d), [F.col(f"r{i}") for i in range(3)]).withColumn("f1", F.round("f1", 9))
+
+
+SEQ_GRAMS = SESS + """, q as (select session_id, label, event_seq[1] cid, list_transform(event_seq, lambda x: cast(x as varchar)) q from sess), g as (select session_id, label, cid, 2 n, q[i] || ' ' || q[i + 1] gram from q, unnest(range(1, len(q))) t(i)
+ union all select session_id, label, cid, 3, q[i] || ' ' || q[i + 1] || ' ' || q[i + 2] from q, unnest(range(1, len(q) - 1)) t(i))"""
+
+
+@query(SEQ_GRAMS + """, c as (select cid, n, gram, count(*) support from g where label = 1 group by cid, n, gram), r as (select *, row_number() over (partition by cid, n order by support desc, gram) k from c)
+ select cid, n, gram, support from (select *, row_number() over (partition by n, gram order by cid) u from r where k <= case n when 2 then 8 else 5 end) where u = 1""")
+def cluster_ngrams(spark, d):
+    """Anomalous sessions, grouped by their first event as a surrogate for clusters."""
+    return M.representative_grams(_sessions(spark, d).where("label = 1").withColumn("cid", F.get("event_seq", F.lit(0))), "cid", {2: 8, 3: 5})
+
+
+@query(SEQ_GRAMS + """, o as (select n, gram from g group by n, gram having count(*) >= case n when 2 then 20 else 15 end), h as (select session_id, count(*) hits from g anti join o using (n, gram) group by session_id)
+ select sess.session_id session_id, coalesce(hits, 0) hits, cast(coalesce(hits, 0) >= 2 and contains(etxt, 'error') as int) high from sess left join h on sess.session_id = h.session_id""")
+def rare_gram_risk(spark, d):
+    words = events(spark, d).groupBy(F.col("sk").alias("session_id")).agg(F.max(F.contains(F.col("eid"), F.lit("error"))).alias("bad"))
+    return M.rare_grams(_sessions(spark, d), {2: 20, 3: 15}).join(words, "session_id").select("session_id", "hits", ((F.col("hits") >= 2) & F.col("bad")).cast("int").alias("high"))
+
+
+@query("select lang, count(*) n, round(avg(case when l.doc_id is null then 0 else 1 end), 9) coverage from documents d left join (select distinct doc_id from labels) l on d.doc_id = l.doc_id group by lang")
+def judgment_coverage(spark, d):
+    return V.coverage(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"), "doc_id", "lang").withColumn("coverage", F.round("coverage", 9))
+
+
 def _driver_query(name: str, sql: str) -> None:
     """Plain relational shapes over the star schema: the same text runs on both engines."""
 
