@@ -1,10 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds join training passages to test items, then Smith-Waterman alignment
-scores paraphrased or edited copies.
+"""Benchmark decontamination: n-gram seeds join training passages to test items, then Smith-Waterman alignment scores
+paraphrased or edited copies.
 
 Seeds are the items' word n-grams. One pass of an Aho-Corasick automaton over each normalised text finds them all and
-cuts out the passages around them; the corpus counts of the seeds are summed over all documents, and the seeds of an
-item that are common beside its others are dropped, so an item that is itself frequent keeps its seeds. Each passage
-that a rare seed joins to an item is aligned word by word with it.
+cuts out the passages around them. No seed is dropped for being frequent: each passage with at least one seed of an item
+is aligned word by word with it, unless they have too few words in common to reach ``LEAST``.
 
 The items are read in blocks of bounded size (``BLOCK_CHARS``), one pass over the corpus each, so nothing that is
 broadcast grows with the benchmark.
@@ -17,17 +16,16 @@ columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
-
 SEED, LEAST, BLOCK_CHARS = 4, 0.5, 8 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 _BREAKS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -110,18 +108,25 @@ def _passages(seeds: Seeds):
     return run
 
 
-def _aligned(seeds: Seeds, rare: dict[int, list[int]]):
+def _aligned(seeds: Seeds):
+    """Aligns each passage with every item of which it holds a seed. A score is at most ``MATCH`` for each word that both
+    have, so a pair with too few words in common is known to fall short of ``LEAST`` and is not aligned."""
+    joins = [seeds.of[g] for g in seeds.names]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bags = [Counter(words) for _, words in seeds.items]
         for batch in batches:
             doc, item, score = [], [], []
             for i, some, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                wanted = sorted({at for k in some for at in rare.get(k, ())})
-                if not wanted:
-                    continue
-                codes: dict[str, int] = {}
-                passage = np.array([codes.setdefault(w, len(codes)) for w in text.split()])
-                for at in wanted:
+                bag = Counter(text.split())
+                passage = None
+                for at in sorted({at for k in some for at in joins[k]}):
                     name, words = seeds.items[at]
+                    if sum(min(n, bag[w]) for w, n in bags[at].items() if w in bag) < LEAST * len(words):
+                        continue
+                    if passage is None:
+                        codes = {w: k for k, w in enumerate(bag)}
+                        passage = np.array([codes[w] for w in text.split()])
                     got = align(np.array([codes.get(w, -1) for w in words]), passage) / (MATCH * len(words))
                     if got >= LEAST:
                         doc.append(i)
@@ -132,22 +137,6 @@ def _aligned(seeds: Seeds, rare: dict[int, list[int]]):
     return run
 
 
-def _rare(seeds: Seeds, counts: dict[int, int]) -> dict[int, list[int]]:
-    """For each seed, the items it joins: a seed counts for an item unless it is over four times as frequent as the
-    item's median seed."""
-    mine: dict[int, list[int]] = {}
-    for k, g in enumerate(seeds.names):
-        for at in seeds.of[g]:
-            mine.setdefault(at, []).append(k)
-    out: dict[int, list[int]] = {}
-    for at, some in mine.items():
-        middle = float(np.median([counts.get(k, 0) for k in some]))
-        for k in some:
-            if counts.get(k, 0) <= 4 * max(middle, 1):
-                out.setdefault(k, []).append(at)
-    return out
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, score) of every document and item that a passage aligns with, at a score of ``LEAST`` or more;
     the score is 1 for a whole verbatim copy."""
@@ -159,10 +148,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         seeds = Seeds([(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()])
         if not seeds.names:
             continue
-        passages = durable(rows.mapInArrow(_passages(seeds), "id long, seeds array<int>, words string"))
-        # one number for each seed of this block
-        counts = {r["seed"]: r["count"] for r in passages.select(F.explode("seeds").alias("seed")).groupBy("seed").count().collect()}
-        found.append(passages.mapInArrow(_aligned(seeds, _rare(seeds, counts)), "doc_id long, item_id long, score double"))
+        passages = rows.mapInArrow(_passages(seeds), "id long, seeds array<int>, words string")
+        found.append(passages.mapInArrow(_aligned(seeds), "doc_id long, item_id long, score double"))
     if not found:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double")
     return reduce(DataFrame.unionByName, found).groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
