@@ -26,7 +26,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out later matches of lines; a text of which nothing but white space is left goes, if it had lost a line."""
-    out = lines.dedup_lines(docs).where((F.col("n_removed") == 0) | F.col("kept_text").rlike(r"\S"))
+    out = lines.dedup_lines(docs, short=True).where((F.col("n_removed") == 0) | F.col("kept_text").rlike(r"\S"))
     n_chars = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
     return out.select(*[F.col("kept_text").alias("text") if c == "text" else n_chars.alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
 

@@ -1,7 +1,7 @@
 """Line dedup by an exact set-similarity join.
 
-A line's tokens are its distinct word shingles (``K`` words, lower-cased), ordered by rarity: by a shingle's rarest word,
-where the ``FREQUENT`` most frequent words come last, by their exact counts. Two sets of Jaccard similarity
+A line's tokens are its distinct word shingles (``K`` words, lower-cased; a shorter line has its whole word sequence as
+its one token), ordered by rarity: by a shingle's rarest word, where the ``FREQUENT`` most frequent words come last, by their exact counts. Two sets of Jaccard similarity
 ``PERCENT``/100 or more share a token in their prefixes of n - ceil(n * PERCENT / 100) + 1 tokens. Candidates that meet
 there pass the length and the positional filter, and are verified on the full sets, made anew from the text. A line
 similar to an earlier one (by id and line number) is removed.
@@ -13,7 +13,8 @@ Skew: equal lines become one class by a partial aggregate before anything is joi
 only, the earliest in its tokens' lists; classes that this doesn't settle then meet all earlier ones, so the answer is
 exact and a group of near copies costs one pair a line, not all pairs.
 
-Defined results: lines of fewer than ``K`` words take no part and stay; null texts have no lines; an exact copy of a
+Defined results: lines without words take no part and stay, and with ``short`` false so do those of fewer than ``K``
+words; null texts have no lines; an exact copy of a
 line at the same id and number (a repeated row) is the same occurrence, and stays; rows with a null id take no part;
 other columns are ignored; an empty table gives an empty result.
 """
@@ -36,10 +37,10 @@ K, PERCENT, FREQUENT, BROADCAST_ROWS = 5, 80, 65_536, 500_000
 ENOUGH = r"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){%d}[^\x20\x09-\x0D]" % (K - 1)
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """id, line, raw, and the class key k1, of every line of at least K words."""
+def _lines(docs: DataFrame, short: bool) -> DataFrame:
+    """id, line, raw, and the class key k1, of every line that has words, or with ``short`` false at least K words."""
     each = docs.where("id is not null and text is not null").select("id", F.posexplode(F.split(F.lower("text"), "\n")).alias("line", "raw"))
-    return each.where(F.col("raw").rlike(ENOUGH)).withColumn("k1", F.xxhash64("raw"))
+    return each.where(F.col("raw").rlike(r"[^\x20\x09-\x0D]" if short else ENOUGH)).withColumn("k1", F.xxhash64("raw"))
 
 
 def _words(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -50,11 +51,19 @@ def _words(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _rolled(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes and the places at which they begin."""
-    at = np.flatnonzero(doc[: len(doc) - K + 1] == doc[K - 1 :]) if len(doc) >= K else np.zeros(0, np.int64)
+    """Shingle hashes and the places at which they begin; a line of fewer than K words is one shingle of all of them."""
+    n = len(doc)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+    left = np.repeat(np.append(first[1:], n), np.diff(np.append(first, n))) - np.arange(n)  # words from here to the line's end
+    begins = left >= K
+    begins[first] = True
+    at = np.flatnonzero(begins)
     out = np.zeros(len(at), np.uint64)
     for j in range(K):
-        out = mix(out * np.uint64(0x9FB21C651E98DF25) + words[at + j] + np.uint64(j + 1))
+        has = left[at] > j
+        out[has] = mix(out[has] * np.uint64(0x9FB21C651E98DF25) + words[at[has] + j] + np.uint64(j + 1))
     return out, at
 
 
@@ -74,7 +83,8 @@ def _prefixes(top):
                     order |= np.where(often[seen] == words, rank[seen], 0).astype(np.uint64) << np.uint64(47)
                 rarest = order[at]
                 for j in range(1, K):
-                    rarest = np.minimum(rarest, order[at + j])
+                    to = np.minimum(at + j, len(doc) - 1)
+                    rarest = np.where(doc[to] == doc[at], np.minimum(rarest, order[to]), rarest)
                 line = doc[at]
                 by = np.lexsort((token, rarest, line))
                 token, line = token[by], line[by]
@@ -120,9 +130,9 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return word[by], (len(word) - np.arange(len(word)))[by]
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
+def removed_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     """(id, line) of every line of ``docs`` (id, text) that goes."""
-    spot, lines = F.struct("id", "line"), _lines(docs)
+    spot, lines = F.struct("id", "line"), _lines(docs, short)
     top = docs.sparkSession.sparkContext.broadcast(_frequent(docs))
     occurrences = durable(lines.select("id", "line", "k1"))
     # a class of equal lines: its first and last occurrence; the first stands for it
@@ -167,12 +177,13 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     return occurrences.join(told, "k1").where(F.col("late") | (spot != F.col("first"))).select("id", "line")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """``docs`` with all its columns, and ``kept_text`` (without the removed lines), ``n_lines``, ``n_removed``.
 
-    A null text stays null; a text whose every line goes becomes empty.
+    A null text stays null; a text whose every line goes becomes empty. With ``short``, lines of fewer than ``K`` words
+    take part too.
     """
-    gone = removed_lines(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")))
+    gone = removed_lines(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), short)
     # the line numbers of one text: bounded by it
     gone = durable(gone.groupBy("id").agg(F.collect_set("line").alias("_gone")).withColumnRenamed("id", "_id"))
     if gone.count() <= BROADCAST_ROWS and (gone.agg(F.sum(F.size("_gone"))).first()[0] or 0) <= 5 * BROADCAST_ROWS:

@@ -49,7 +49,7 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = lines.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), short=True)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 

@@ -1,9 +1,12 @@
 """Whole jobs: what an earlier cut left out."""
 
+import re
+
 import numpy as np
 import pytest
 
-from sessionloom.llm import decontam
+from sessionloom.llm import decontam, lines
+from sessionloom.llm.queries import op7_line_dedup
 
 RNG = np.random.default_rng(5)
 VOCAB = [f"v{i}" for i in range(2000)]
@@ -35,3 +38,25 @@ def test_shared_words_bound_drops_no_pair(spark):
             if decontam.align(np.array([codes.get(x, -1) for x in w]), np.array([codes[x] for x in t.split()])) / 40 >= 0.5:
                 want.add((i, k))
     assert {(r.doc_id, r.item_id) for r in decontam.contaminated(d, b).collect()} == want and len(want) >= 36
+
+
+def test_line_dedup_takes_short_lines(spark, tmp_path):
+    long = prose(12)
+    texts = [f"All rights reserved.\n{long}\nok", f"all  rights\treserved.\n{prose(9)}\n\n \nOK", "ok\nok then\nthen ok", f"{long} more\nall rights\nall rights reserved. 2024", "a b c d\na b c d e\na b c d e\n\n", "d c b a\nA B C D", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def tokens(line):
+        w = re.findall(r"[^\x20\x09-\x0D]+", line.lower())
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+    seen, gone = [], {}
+    for i, t in enumerate(texts):
+        for n, line in enumerate((t or "").split("\n")):
+            a = tokens(line)
+            if any(100 * len(a & b) >= 80 * len(a | b) for b in seen if a):
+                gone.setdefault(i, []).append(n)
+            seen.append(a)
+    assert gone == {1: [0, 4], 2: [0], 3: [0], 4: [2], 5: [1]}
+    assert {r.doc_id: r.n_removed for r in op7_line_dedup(spark, str(tmp_path)).collect()} == {i: len(gone.get(i, ())) for i in range(len(texts))}
+    got = lines.removed_lines(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), short=True).collect()
+    assert {(r.id, r.line) for r in got} == {(i, n) for i, q in gone.items() for n in q}
