@@ -133,20 +133,21 @@ def homoglyphs(t: Transduced) -> Transduced:
 _NUMBER = {w: str(d) for words in ("zero one two three four five six seven eight nine", "zéro un deux trois quatre cinq six sept huit neuf", "null eins zwei drei vier fünf sechs sieben acht neun", "cero uno dos tres cuatro cinco seis siete ocho nueve") for d, w in enumerate(words.split())} | {"oh": "0", "plus": "+", "más": "+", "dash": "-", "hyphen": "-"}
 _WORD = "|".join(sorted(map(re.escape, _NUMBER), key=len, reverse=True))
 _ONE = re.compile(rf"(?i)(?<![^\W_])(?:{_WORD})(?![^\W_])")
-#: On lower-cased text: two number words, or one and a digit, side by side. It begins with letters, which a search skips to.
-_HINT = re.compile(rf"(?:{_WORD})[\x20.,()-]{{1,3}}(?:{_WORD}|[0-9])")
+_BETWEEN = r"(?:\x20(?:dot|point|punkt|punto)\x20|[\x20.,()-]{1,3})"
+#: On lower-cased text: two number words, or one and a digit in either order, side by side.
+_HINT = re.compile(rf"(?:{_WORD}){_BETWEEN}(?:{_WORD}|[0-9])|[0-9]{_BETWEEN}(?:{_WORD})")
 _POINT = re.compile(r"(?i)\x20+(?:dot|point|punkt|punto)\x20+")
 _RUN = re.compile(rf"(?i)(?<![^\W_])(?:\+[\x20]?)?(?:(?:{_WORD}|[0-9]+)(?:\x20(?:dot|point|punkt|punto)\x20|[\x20.,()-]{{0,3}})){{4,}}(?:{_WORD}|[0-9]+)(?![^\W_])")
 
 
 def spelled(t: Transduced) -> Transduced:
-    """Number words in runs of at least five numbers become digits; single spaces between the words go."""
+    """Number words in runs of at least five numbers, be it one word among digits, become digits; single spaces between the words go."""
     if not _HINT.search(t.text.lower()):
         return t
     edits = []
     for run in _RUN.finditer(t.text):
         words = list(_ONE.finditer(t.text, run.start(), run.end()))
-        if len(words) < 2:
+        if not words:
             continue
         last = -1
         for m in words:

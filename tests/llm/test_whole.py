@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from sessionloom.llm import decontam, lines
+from sessionloom.llm import decontam, lines, pii
 from sessionloom.llm.queries import op7_line_dedup
 
 RNG = np.random.default_rng(5)
@@ -60,3 +60,18 @@ def test_line_dedup_takes_short_lines(spark, tmp_path):
     assert {r.doc_id: r.n_removed for r in op7_line_dedup(spark, str(tmp_path)).collect()} == {i: len(gone.get(i, ())) for i in range(len(texts))}
     got = lines.removed_lines(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), short=True).collect()
     assert {(r.id, r.line) for r in got} == {(i, n) for i, q in gone.items() for n in q}
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "held"),
+    [("call +one 415 555 2671 now", "phone", "+one 415 555 2671"), ("card 4539 1488 0343 646 seven.", "card", "4539 1488 0343 646 seven"), ("card four 539 1488 0343 6467.", "card", "four 539 1488 0343 6467"), ("+1 415 five 55 2671", "phone", "+1 415 five 55 2671")],
+)
+def test_pii_with_one_spelled_digit(text, kind, held):
+    own, more = pii.find(text)
+    spans = [text[a:b] for a, b in own[kind] + more[kind]]
+    assert spans == [held]
+
+
+def test_pii_with_one_number_word_leaves_prose_alone():
+    for t in ("pages 1 2 3 4 5 and one more", "in 2019 2020 2021 one of 12 345 678 fell", "4539 1488 0343 646 eight", "room 12, 14, 16, 18 or six"):
+        assert not any(v for d in pii.find(t) for v in d.values()), t
