@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,6 +87,54 @@ def knn_cosine(queries: DataFrame, table: DataFrame, k: int) -> DataFrame:
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))).where(F.col("rank") <= k)
 
 
+def _nearest(ids: np.ndarray, q: np.ndarray, k: int):
+    """The k rows nearest to each query among each slice of rows; sums run over the dimensions in order, so equal vectors tie."""
+    q = q / np.sqrt((q * q).sum(1))[:, None]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                vec = part.column(0).to_numpy()
+                e = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vec), -1)
+                norm, s = np.zeros(len(vec)), np.zeros((len(q), len(vec)))
+                for j in range(e.shape[1]):
+                    norm += e[:, j] * e[:, j]
+                e = e / np.sqrt(norm)[:, None]
+                for j in range(e.shape[1]):
+                    s += q[:, j, None] * e[None, :, j]
+                s[ids[:, None] == vec[None, :]] = -np.inf
+                order = np.lexsort((np.broadcast_to(vec, s.shape), -s))[:, :k]
+                row = np.repeat(np.arange(len(q)), order.shape[1])
+                col = order.ravel()
+                real = np.isfinite(s[row, col])
+                row, col = row[real], col[real]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(vec[col]), pa.array(s[row, col])], ["query_id", "vec_id", "similarity"])
+
+    return run
+
+
+def knn_cosine_blocks(queries: DataFrame, table: DataFrame, k: int, block: int = 1024) -> DataFrame:
+    """As ``knn_cosine`` for a query set that grows with the table: about ``block`` queries at a time against all rows.
+    Null vectors, and those with nulls, NaN or of length zero, take no part."""
+
+    def whole(df: DataFrame, c: str) -> DataFrame:
+        v = F.col(c).cast("array<double>")
+        return df.withColumn(c, v).where(F.exists(c, lambda x: x != 0) & F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x)))
+
+    queries, rows = whole(queries, "q"), whole(table, "embedding").select(F.col("vec_id").cast("long"), "embedding")
+    blocks, found = max(1, -(-queries.count() // block)), []
+    for b in range(blocks):
+        got = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select(F.col("query_id").cast("long"), "q").collect()
+        if got:
+            near = _nearest(np.array([r["query_id"] for r in got]), np.array([r["q"] for r in got]), k)
+            found.append(rows.mapInArrow(near, "query_id long, vec_id long, similarity double"))
+    if not found:
+        return table.sparkSession.createDataFrame([], "query_id long, vec_id long, similarity double, rank int")
+    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
+    return reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def leg_stats(df: DataFrame, legs: dict[str, Column]) -> DataFrame:
     """leg, idx, tp, fp, fn of every 0/1 leg against ``label``: one pass, whatever the number of legs."""
     each = df.select("label", F.explode(F.array(*[F.struct(F.lit(i).alias("idx"), F.lit(n).alias("leg"), c.cast("int").alias("v")) for i, (n, c) in enumerate(legs.items())])).alias("x"))

@@ -252,6 +252,13 @@ def knn_cosine(spark, d):
     return V.knn_cosine(t.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), t, 5).select("query_id", "vec_id", F.col("rank").cast("int").alias("rank"), F.round("similarity", 6).alias("similarity"))
 
 
+@query("with q as (select vec_id query_id, embedding e from embeddings where vec_id % 50 = 0), n as (select query_id, vec_id, list_cosine_similarity(e::double[], embedding::double[]) s from q, embeddings where vec_id <> query_id), r as (select *, row_number() over (partition by query_id order by s desc, vec_id) rank from n) select query_id, vec_id, cast(rank as int) rank, round(s, 6) similarity from r where rank <= 5")
+def knn_cosine_table(spark, d):
+    """Every id divisible by 50 against all rows."""
+    t = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding")
+    return V.knn_cosine_blocks(t.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), t, 5).select("query_id", "vec_id", F.col("rank").cast("int").alias("rank"), F.round("similarity", 6).alias("similarity"))
+
+
 JUDGED = "with j as (select doc_id, toxic risk, case when doc_id % 3 = 0 then null else (doc_id % 10) / 10 end conf, quality + 1 cnt from labels)"
 
 
