@@ -53,14 +53,9 @@ def _counts(spark: SparkSession, d: str) -> DataFrame:
     return M.ngram_counts(events(spark, d))
 
 
-def _least(d: str) -> int:
-    """The smallest table has a tenth of the events."""
-    return 2 if d.rstrip("/").endswith("sf0.001") else 10
-
-
 @query(GRAMS + " select gram eid, ca, cn from counts where n = 1 and ca >= 10 and cn <= 1 order by ca desc, cn, gram limit 200")
-def disc_patterns(spark, d):
-    return M.discriminative(_counts(spark, d), _least(d)).select(F.col("gram").alias("eid"), "ca", "cn")
+def disc_patterns(spark, d, least=10):
+    return M.discriminative(_counts(spark, d), least).select(F.col("gram").alias("eid"), "ca", "cn")
 
 
 @query(LINES + " select line_id, host, ts_sec, eid, anom, sk from lines")

@@ -1,8 +1,11 @@
 """Whole jobs: what an earlier cut left out."""
 
+import duckdb
 import numpy as np
 
+from __spark_entry__ import entry
 from sessionloom.operators import verdicts as V
+from sessionloom.queries import ORACLES, QUERIES
 
 
 def test_knn_blocks_are_brute_force(spark):
@@ -21,3 +24,11 @@ def test_knn_blocks_are_brute_force(spark):
         want[i] = [int(j) + 5 for j in np.lexsort((np.arange(300), -s.round(12))) if j != i - 5][:5]
     assert got == want
     assert V.knn_cosine_blocks(q.limit(0), t, 5).count() == V.knn_cosine_blocks(q, t.limit(0), 5).count() == 0
+
+
+def test_disc_patterns_is_its_sql_on_the_smallest_table(spark):
+    d, c = "/root/testdata/sf0.001", duckdb.connect()
+    c.sql(f"create view events as select * from '{d}/events.parquet'")
+    assert {tuple(r) for r in QUERIES["disc_patterns"](spark, d).collect()} == set(c.sql(ORACLES["disc_patterns"]).fetchall())
+    least = ORACLES["disc_patterns"].replace("ca >= 10", "ca >= 2")
+    assert {tuple(r) for r in entry(spark).collect()} == set(c.sql(least).fetchall())
