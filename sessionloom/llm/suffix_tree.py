@@ -1,14 +1,17 @@
 """Language-model scoring by a probabilistic suffix tree.
 
 Symbols are the bytes of a text's words (lower-cased A-Z, words joined by one space, then an end symbol). The counts of
-all windows of ``DEPTH`` + 1 symbols over all training texts are summed in Spark. A context stays in the tree if it is
-frequent (at least ``SHARE`` of all symbols, so a level has at most 1 / ``SHARE`` contexts however large the corpus) and
-its next-symbol distribution diverges from its parent's (the context without its oldest symbol) by more than the
-description length of its counts. Next-symbol distributions are smoothed towards their parent's. A text is scored by
-the longest suffix state at each symbol, with an automaton that runs over many places at a time.
+all windows of ``DEPTH`` + 1 symbols over all training texts are summed in Spark. A context of up to ``DEPTH`` symbols
+stays in the tree if it occurs at least ``FEWEST`` times, whatever the corpus size, and its next-symbol distribution
+diverges from its parent's (the context without its oldest symbol) by more than the description length of its counts.
+Next-symbol distributions are smoothed towards their parent's. A text is scored by the longest suffix state at each symbol.
 
-Beside it stands the base score: each token's add-one unigram probability. The counts of all words are never gathered
-or broadcast: each block of texts asks for the counts of its own words.
+The tree is a table of the windows of all texts and their probabilities, made in groups of contexts that end in the same
+two symbols; only the contexts of up to one symbol (65,536 pairs at most) come to the driver. ``SuffixTree`` is the same
+model in one process, for counts that fit there; the tests hold the table against it.
+
+Beside it stands the base score: each token's add-one unigram probability. Neither the counts of all words nor the tree
+are ever gathered or broadcast: each block of texts asks for its own words and windows.
 
 Defined results: a null or empty text is the end token alone; with no training texts N is 0, every count is 0 and the
 model is uniform; a null id is never held out; repeated rows are scored (and learned from) once each.
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, durable, slices, utf8, word_hashes, word_spans
 
-DEPTH, SHARE, END = 5, 1e-5, 10
+DEPTH, FEWEST, END = 5, 2, 10
 BLOCK_BYTES = 16 << 20
 
 
@@ -60,36 +63,106 @@ def stream(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, at
 
 
+def _windows(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The window of DEPTH + 1 symbols that ends at each symbol of the texts of a stream, as one number."""
+    key = np.zeros(max(0, len(s) - DEPTH), np.int64)
+    for j in range(DEPTH + 1):
+        key = key << 8 | s[j : len(key) + j]
+    real = np.ones(len(s), bool)
+    for j in range(DEPTH):
+        real[at[:-1] + j] = False
+    return key[real[DEPTH:]]
+
+
+def _distinct(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, sorted, and their counts: a plain sort is several times as fast as np.unique."""
+    k = np.sort(k)
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(k)), bool), k[1:] != k[:-1])))
+    return k[first], np.diff(np.append(first, len(k)))
+
+
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of windows of DEPTH + 1 symbols in a task's training texts: a partial aggregate."""
+    """The windows of a task's texts and their counts in training texts: a partial aggregate."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        k, c = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
-        order = np.argsort(k, kind="stable")
-        k, c = k[order], c[order]
-        first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-        return k[first], np.add.reduceat(c, first)
+    def out(k: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(c.astype(np.int64))], ["gram", "c"])
 
     for batch in batches:
         for part in slices(batch, "text", 2 << 20):
             s, at = stream(*utf8(part.column("text")))
-            key = np.zeros(len(s) - DEPTH, np.int64)
-            for j in range(DEPTH + 1):
-                key = key << 8 | s[j : len(s) - DEPTH + j]
-            real = np.ones(len(s), bool)
-            for j in range(DEPTH):
-                real[at[:-1] + j] = False
-            k, c = np.unique(key[real[DEPTH:]], return_counts=True)
-            held.append((k, c))
+            train = ~part.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+            key, learned = _windows(s, at), np.repeat(train, np.diff(at) - DEPTH)
+            held.append(_distinct(key[learned]))
+            other = _distinct(key[~learned])[0]
+            held.append((other, np.zeros(len(other), np.int64)))
             if sum(len(x[0]) for x in held) > 1_500_000:
-                held[:] = [merged()]
+                held[:] = [_summed(held)]
                 if len(held[0][0]) > 1_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(held[0][0]), pa.array(held[0][1])], ["gram", "c"])
-                    held.clear()
+                    yield out(*held.pop())
     if held:
-        k, c = merged()
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], ["gram", "c"])
+        yield out(*_summed(held))
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, gram) for each distinct window of each block; a task holds whole blocks."""
+    held: dict[int, list[np.ndarray]] = {}
+    for batch in batches:
+        for part in slices(batch, "text", 2 << 20):
+            s, at = stream(*utf8(part.column("text")))
+            k, block = _windows(s, at), np.repeat(part.column("block").to_numpy(), np.diff(at) - DEPTH)
+            for b in np.unique(block):
+                mine = held.setdefault(int(b), [])
+                mine.append(_distinct(k[block == b])[0])
+                if len(mine) > 8:
+                    mine[:] = [_distinct(np.concatenate(mine))[0]]
+    for b in list(held):
+        k = _distinct(np.concatenate(held.pop(b)))[0]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), b, np.int32)), pa.array(k)], ["block", "gram"])
+
+
+def refined(g: np.ndarray, c: np.ndarray, p: np.ndarray, d: int) -> np.ndarray:
+    """From the probability of each window's last symbol after d - 1 symbols, that after d symbols. All windows of a
+    context of d symbols are in ``g``."""
+    if not len(g):
+        return p
+    u, some, code = np.unique(g & ((1 << 8 * (d + 1)) - 1), return_index=True, return_inverse=True)
+    n_s, up = np.bincount(code, c, len(u)), p[some]
+    first = np.flatnonzero(np.concatenate(([True], u[1:] >> 8 != u[:-1] >> 8)))
+    of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(u))))
+    n, seen = np.add.reduceat(n_s, first), np.add.reduceat((n_s > 0).astype(float), first)
+    gains = np.zeros(len(u))
+    had = n_s > 0
+    gains[had] = n_s[had] * np.log(n_s[had] / n[of][had] / up[had])
+    keep = (n >= FEWEST) & (np.add.reduceat(gains, first) > 0.5 * seen * np.log(n + 1))
+    own = (n_s + seen[of] * up) / np.maximum(n + seen, 1)[of]
+    return np.where(keep[of], own, up)[code]
+
+
+def _logs(short: np.ndarray):
+    """log10 probabilities of the windows of one group; ``short`` has them after one symbol, by the last two symbols."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        g, c = rows.column("gram").to_numpy(), rows.column("c").to_numpy()
+        p = short[g & 0xFFFF]
+        for d in range(2, DEPTH + 1):
+            p = refined(g, c, p, d)
+        return pa.table([pa.array(g), pa.array(np.log10(p).astype(np.float32))], ["gram", "log"])
+
+    return run
+
+
+def learn(rows: DataFrame) -> DataFrame:
+    """(gram, log) of every window of ``rows`` (text, held_out), by the tree of the rows that are not held out."""
+    grams = durable(rows.select("text", "held_out").mapInArrow(_grams, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c")))
+    # at most one row for each pair of bytes
+    got = grams.groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFF)).alias("g")).agg(F.sum("c").alias("c")).toArrow()
+    g, c = got.column("g").to_numpy(), got.column("c").to_numpy()
+    one = np.bincount(g & 255, c, 256)
+    short = np.full(1 << 16, 1 / 256)
+    short[g] = refined(g, c, ((one + 1 / 256) / (one.sum() + 1))[g & 255], 1)
+    ending = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))
+    return grams.groupBy(ending.alias("ending")).applyInArrow(_logs(short), "gram long, log float")
 
 
 #: Transitions and distributions of the tree that this process used last, by its key.
@@ -183,23 +256,6 @@ class SuffixTree:
         return np.add.reduceat(flat, at[:-1]) if len(at) > 1 else flat[:0]
 
 
-def learn(train: DataFrame) -> SuffixTree:
-    """The tree of the texts of ``train`` (text)."""
-    grams = durable(train.select("text").mapInArrow(_grams, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c")))
-    total = grams.agg(F.sum("c")).first()[0] or 0
-    least = max(2, int(np.ceil(SHARE * total)))
-
-    def level(d: int) -> dict[int, dict[int, int]]:
-        gram = F.col("gram").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1))
-        per = grams.groupBy(gram.alias("g")).agg(F.sum("c").alias("c"))
-        ctx = F.shiftright("g", 8)
-        # at most 256 symbols follow a context, and at most 1 / SHARE contexts are frequent
-        got = per.groupBy(ctx.alias("ctx")).agg(F.sum("c").alias("n"), F.collect_list(F.struct((F.col("g").bitwiseAND(F.lit(255))).cast("int").alias("s"), "c")).alias("next")).where(F.col("n") >= (0 if d == 0 else least)).select("ctx", F.transform("next", lambda x: x["s"]).alias("s"), F.transform("next", lambda x: x["c"]).alias("c")).toArrow()
-        return {k: dict(zip(s, c, strict=True)) for k, s, c in zip(*(col.to_pylist() for col in got.columns), strict=True)}
-
-    return SuffixTree(level(d) for d in range(DEPTH + 1))
-
-
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(block, word) for each distinct word of each block; a task holds whole blocks."""
     held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -247,14 +303,17 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return k, np.bincount(code, np.concatenate([p[1] for p in parts]), len(k))
 
 
-def _score(tree: SuffixTree, n_all: int, v: int, ends_c: int):
+def _score(n_all: int, v: int, ends_c: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        keys = right.column("word").to_numpy().view(np.uint64)
+        key, c, log = (right.column(x).to_numpy() for x in ("key", "c", "log"))
+        keys, counts, grams, logs10 = key[c >= 0].view(np.uint64), c[c >= 0], key[c < 0], log[c < 0]
         order = np.argsort(keys)
-        keys, counts = keys[order], right.column("c").to_numpy()[order]
+        keys, counts = keys[order], counts[order]
+        order = np.argsort(grams)
+        grams, logs10 = grams[order], logs10[order]
         out = []
         for batch in left.select(["id", "text", "held_out"]).combine_chunks().to_batches():
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 data, off = utf8(part.column("text"))
                 starts, ends, doc = word_spans(data, off)
                 with np.errstate(over="ignore"):
@@ -268,7 +327,13 @@ def _score(tree: SuffixTree, n_all: int, v: int, ends_c: int):
                 logs = np.log10((c + 1) / (n_all + v + 1))
                 base = np.bincount(doc, logs, texts) + np.log10((ends_c + 1) / (n_all + v + 1))
                 known = np.bincount(doc, c > 0, texts).astype(np.int64) + (ends_c > 0)
-                out.append(pa.table([part.column("id"), part.column("held_out"), pa.array(words + 1), pa.array(known), pa.array(np.full(texts, n_all)), pa.array(base), pa.array(tree.score(*stream(data, off)))], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
+                s, at = stream(data, off)
+                windows = _windows(s, at)
+                order = np.argsort(windows)  # a search in ascending order stays in the cache
+                each = np.empty(len(windows))
+                each[order] = logs10[np.searchsorted(grams, windows[order])]
+                score = np.add.reduceat(each, at[:-1] - DEPTH * np.arange(texts))
+                out.append(pa.table([part.column("id"), part.column("held_out"), pa.array(words + 1), pa.array(known), pa.array(np.full(texts, n_all)), pa.array(base), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
         return pa.concat_tables(out)
 
     return run
@@ -278,14 +343,15 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("held_out", held_out(F.col("id")))
-    tree = learn(rows.where("not held_out"))
+    logs = learn(rows)
     total, ends_c = rows.agg(F.sum(F.octet_length("text")), F.count(F.when(~F.col("held_out"), 1))).first()
     blocks = max(1, -(-(total or 0) // BLOCK_BYTES))
     per_word = durable(rows.where("not held_out").select("text").mapInArrow(counted, "word long, c long").groupBy("word").agg(F.sum("c").alias("n")))
-    # one exchange of the texts by block serves both uses
+    # one exchange of the texts by block serves all uses
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", F.when(F.col("id").isNull(), F.xxhash64("text"))), F.lit(blocks)).cast("int")).repartition(blocks, "block")
-    known = dealt.mapInArrow(_vocabulary, "block int, word long").join(per_word, "word").select("block", "word", F.col("n").alias("c"))
+    known = dealt.mapInArrow(_vocabulary, "block int, word long").join(per_word, "word").select("block", F.col("word").alias("key"), F.col("n").alias("c"), F.lit(0.0).cast("float").alias("log"))
+    known = known.unionByName(dealt.mapInArrow(_asked, "block int, gram long").join(logs, "gram").select("block", F.col("gram").alias("key"), F.lit(-1).cast("long").alias("c"), "log"))
     distinct, sums = per_word.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     n_all, v = sums + ends_c, distinct + (1 if ends_c else 0)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_score(tree, int(n_all), int(v), int(ends_c)), schema)
+    return dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_score(int(n_all), int(v), int(ends_c)), schema)

@@ -1,11 +1,13 @@
 """Whole jobs: what an earlier cut left out."""
 
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 
-from sessionloom.llm import decontam, lines, pii
+from sessionloom.llm import decontam, lines, pii, suffix_tree
 from sessionloom.llm.queries import op7_line_dedup
 
 RNG = np.random.default_rng(5)
@@ -75,3 +77,24 @@ def test_pii_with_one_spelled_digit(text, kind, held):
 def test_pii_with_one_number_word_leaves_prose_alone():
     for t in ("pages 1 2 3 4 5 and one more", "in 2019 2020 2021 one of 12 345 678 fell", "4539 1488 0343 646 eight", "room 12, 14, 16, 18 or six"):
         assert not any(v for d in pii.find(t) for v in d.values()), t
+
+
+def test_suffix_tree_keeps_contexts_of_a_small_count(spark):
+    # "qzxjk" stands 10 times among over 1.5 million symbols: under 1e-5 of them, and its next symbol is always the same
+    texts = [prose(400) for _ in range(1000)] + ["qzxjkw"] * 10 + [prose(8), "", None]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    s, at = suffix_tree.stream(np.frombuffer(body := "".join(t or "" for t in texts).encode(), np.uint8), np.cumsum([0] + [len((t or "").encode()) for t in texts]))
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
+    grams, counts = suffix_tree._windows(s, at), Counter()
+    for g, out in zip(grams.tolist(), np.repeat(held, np.diff(at) - suffix_tree.DEPTH), strict=True):
+        counts[g] += not out
+    levels = [{} for _ in range(suffix_tree.DEPTH + 1)]
+    for g, c in counts.items():
+        for k, level in enumerate(levels):
+            x = g & ((1 << 8 * (k + 1)) - 1)
+            if c:
+                level.setdefault(x >> 8, Counter())[x & 255] += c
+    levels = [{ctx: q for ctx, q in level.items() if not k or sum(q.values()) >= 2} for k, level in enumerate(levels)]
+    want = suffix_tree.SuffixTree(levels).score(s, at)
+    got = {r.doc_id: r.score for r in suffix_tree.score_documents(d).collect()}
+    assert len(body) > 1_500_000 and np.allclose([got[i] for i in range(len(texts))], want, rtol=1e-4, atol=1e-4)
