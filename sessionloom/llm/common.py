@@ -30,12 +30,14 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; where that is unset (tests), a local one is set once."""
+    """The folder the cluster names in spark.checkpoint.dir; where that is unset in local mode (tests), one of this machine is set once."""
     conf = spark.sparkContext.getConf()
     named = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if not spark.conf.get("spark.loom.shared.dir", None):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.conf.set("spark.loom.shared.dir", "file://" + tempfile.mkdtemp(prefix="loom-shared-"))
     return spark.conf.get("spark.loom.shared.dir")
 
@@ -49,12 +51,21 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors. The table
+    is removed at exit, or by ``discard`` before."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._durable_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove durable tables that nothing will read any more."""
+    for df in tables:
+        _remove(df.sparkSession, df._durable_path)
 
 
 # ---------------------------------------------------------------- text kernels

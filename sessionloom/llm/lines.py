@@ -1,149 +1,147 @@
-"""Line dedup by an exact set-similarity join.
+"""Line dedup by an exact set-similarity join, in DataFrame functions alone.
 
 A line's tokens are its distinct word shingles (``K`` words, lower-cased; a shorter line has its whole word sequence as
-its one token), ordered by rarity: by a shingle's rarest word, where the ``FREQUENT`` most frequent words come last, by their exact counts. Two sets of Jaccard similarity
-``PERCENT``/100 or more share a token in their prefixes of n - ceil(n * PERCENT / 100) + 1 tokens. Candidates that meet
-there pass the length and the positional filter, and are verified on the full sets, made anew from the text. A line
-similar to an earlier one (by id and line number) is removed.
+its one token), as 64-bit hashes. They are ordered by rarity: all tokens of all texts are counted in ``CELLS`` hash cells,
+and a token whose cell is fuller than most comes later, the fuller the later; within a level the hash decides. Two sets of
+Jaccard similarity ``PERCENT``/100 or more share a token in their prefixes of n - ceil(n * PERCENT / 100) + 1 tokens.
+Lines that meet there pass the length and the positional filter, and are verified on the full sets, made anew from the
+text. A line similar to an earlier one (by id and line number) is removed.
 
-Shingles and prefixes are made by numpy kernels on Arrow batches: three forms in DataFrame functions alone could
-not meet the limits (README). The join, the filters and the verification are DataFrame operations.
-
-Skew: equal lines become one class by a partial aggregate before anything is joined. Each class first meets one other
-only, the earliest in its tokens' lists; classes that this doesn't settle then meet all earlier ones, so the answer is
-exact and a group of near copies costs one pair a line, not all pairs.
+Skew: equal lines are one class, found by a partial aggregate; only its first occurrence gets tokens, so a line that
+stands in a third of all rows is one row of each list. Each class first meets one other only, the earliest of its lists
+(a very common token's list is dealt to several tasks, by the token's level); what this doesn't settle then meets all
+earlier ones, so the answer is exact and a group of near copies costs one pair a line, not all pairs.
 
 Defined results: lines without words take no part and stay, and with ``short`` false so do those of fewer than ``K``
-words; null texts have no lines; an exact copy of a
-line at the same id and number (a repeated row) is the same occurrence, and stays; rows with a null id take no part;
-other columns are ignored; an empty table gives an empty result.
+words; null texts have no lines; an exact copy of a line at the same id and number (a repeated row) is the same
+occurrence, and stays; documents that share an id are one for this purpose: a line number that goes, goes from each;
+rows with a null id take no part; an empty table gives an empty result; an input column named like one that
+``dedup_lines`` adds is replaced by it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, mix, slices, utf8, word_hashes, word_spans
-from .suffix_tree import counted
+from .common import discard, durable
+
+K, PERCENT, CELLS, BROADCAST_ROWS = 5, 80, 65_536, 500_000
+#: A cell is common from this multiple of the mean on; four levels are a factor of two.
+COMMON, LEVELS = 1.25, 127
+#: Lists of tokens in cells of more lines than this are dealt to several tasks.
+LIST_ROWS = 1 << 17
+
+# Arrays are opened by the outer forms, though none is empty: for the others the optimizer infers a filter on the size of
+# the array, and makes the array twice.
+
+#: White space other than the blank, which the word rule knows too.
+_OTHER_SPACE = "\t\x0b\x0c\r"
 
-K, PERCENT, FREQUENT, BROADCAST_ROWS = 5, 80, 65_536, 500_000
 
 #: K words; possessive, so a long line is read once.
 ENOUGH = r"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){%d}[^\x20\x09-\x0D]" % (K - 1)
 
 
+def _words(raw: Column) -> Column:
+    """The words of a line; splitting at one blank needs no regular expression."""
+    other = F.lit(False)
+    for c in _OTHER_SPACE:
+        other = other | F.contains(raw, F.lit(c))
+    plain = F.when(other, F.translate(raw, _OTHER_SPACE, " " * len(_OTHER_SPACE))).otherwise(raw)
+    return F.array_remove(F.split(plain, " "), "")
+
+
 def _lines(docs: DataFrame, short: bool) -> DataFrame:
-    """id, line, raw, and the class key k1, of every line that has words, or with ``short`` false at least K words."""
-    each = docs.where("id is not null and text is not null").select("id", F.posexplode(F.split(F.lower("text"), "\n")).alias("line", "raw"))
-    return each.where(F.col("raw").rlike(r"[^\x20\x09-\x0D]" if short else ENOUGH)).withColumn("k1", F.xxhash64("raw"))
-
-
-def _words(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """The words and the line of each."""
-    data, off = utf8(part.column("raw"))
-    starts, ends, doc = word_spans(data, off)
-    return word_hashes(data, starts, ends), doc
-
-
-def _rolled(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes and the places at which they begin; a line of fewer than K words is one shingle of all of them."""
-    n = len(doc)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
-    left = np.repeat(np.append(first[1:], n), np.diff(np.append(first, n))) - np.arange(n)  # words from here to the line's end
-    begins = left >= K
-    begins[first] = True
-    at = np.flatnonzero(begins)
-    out = np.zeros(len(at), np.uint64)
-    for j in range(K):
-        has = left[at] > j
-        out[has] = mix(out[has] * np.uint64(0x9FB21C651E98DF25) + words[at[has] + j] + np.uint64(j + 1))
-    return out, at
-
-
-def _prefixes(top):
-    """Prefix tokens of each line; ``top`` holds the frequent words, sorted, and their ranks (1: the least frequent)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, rank = top.value
-        for batch in batches:
-            for part in slices(batch, "raw", 1 << 20):
-                with np.errstate(over="ignore"):
-                    words, doc = _words(part)
-                    token, at = _rolled(words, doc)
-                seen = np.minimum(np.searchsorted(often, words), max(len(often) - 1, 0))
-                order = words >> np.uint64(17)
-                if len(often):
-                    order |= np.where(often[seen] == words, rank[seen], 0).astype(np.uint64) << np.uint64(47)
-                rarest = order[at]
-                for j in range(1, K):
-                    to = np.minimum(at + j, len(doc) - 1)
-                    rarest = np.where(doc[to] == doc[at], np.minimum(rarest, order[to]), rarest)
-                line = doc[at]
-                by = np.lexsort((token, rarest, line))
-                token, line = token[by], line[by]
-                new = np.ones(len(by), bool)
-                new[1:] = (token[1:] != token[:-1]) | (line[1:] != line[:-1])
-                token, line = token[new], line[new]
-                n = np.bincount(line, minlength=part.num_rows)
-                pos = np.arange(len(line)) - (np.cumsum(n) - n)[line]
-                keep = pos <= (n + (-n * PERCENT) // 100)[line]
-                token, line, pos = token[keep], line[keep], pos[keep]
-                whole = pa.array(line)
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), part.column("id").take(whole), part.column("line").take(whole), part.column("k1").take(whole), pa.array(n[line].astype(np.int32)), pa.array(pos.astype(np.int32))], ["token", "id", "line", "k1", "n", "pos"])
-
-    return run
-
-
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch, "raw", 1 << 20):
-            with np.errstate(over="ignore"):
-                words, doc = _words(part)
-                token, at = _rolled(words, doc)
-            sets = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[at], np.arange(part.num_rows + 1)).astype(np.int32)), pa.array(token.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("line"), part.column("k1"), sets], ["id", "line", "k1", "tokens"])
+    """id, line, raw of every line that has words, or with ``short`` false K words at least."""
+    each = docs.select("id", F.posexplode_outer(F.split(F.lower("text"), "\n")).alias("line", "raw"))
+    return each.where(F.btrim("raw", F.lit(" " + _OTHER_SPACE)) != "" if short else F.col("raw").rlike(ENOUGH))
 
 
-def _need(a: Column, b: Column) -> Column:
-    """Least overlap of sets of these sizes: 100 * o >= PERCENT * (a + b - o)."""
-    return F.ceil((a + b) * PERCENT / F.lit(100.0 + PERCENT) - F.lit(1e-9))
+def _hashed(lines: DataFrame) -> DataFrame:
+    """id, line, hashes (of the line's words in turn)."""
+    return lines.select("id", "line", F.transform(_words(F.col("raw")), lambda w: F.xxhash64(w)).alias("hashes"))
+
 
+def _begins() -> Column:
+    """The places in ``hashes`` at which shingles begin."""
+    return F.sequence(F.lit(0), F.greatest(F.size("hashes") - K, F.lit(0)))
 
-def _bounded(few: DataFrame) -> DataFrame:
-    """Broadcast up to ``BROADCAST_ROWS`` rows (some 32 bytes each); beyond that, a shuffle join."""
-    return F.broadcast(few) if few.count() <= BROADCAST_ROWS else few
 
+def _shingle(i: Column) -> Column:
+    """The hash of the K words from place i on; a place past a short line's end is null and adds nothing."""
+    return F.xxhash64(*[F.get("hashes", i + j if j else i) for j in range(K)])
 
-def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The ``FREQUENT`` most frequent words by exact counts (16 bytes each come to the driver), sorted, with ranks."""
-    words = docs.where("id is not null").select(F.lower("text").alias("text")).mapInArrow(counted, "word long, c long")
-    got = words.groupBy("word").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "word").limit(FREQUENT).toArrow()
-    word = got.column("word").to_numpy().view(np.uint64)
-    by = np.argsort(word)
-    return word[by], (len(word) - np.arange(len(word)))[by]
+
+def _levels(lines: DataFrame) -> tuple[np.ndarray, float]:
+    """The level of each cell (0 up to ``COMMON`` times the mean count), and that mean: ``CELLS`` small numbers, whatever
+    the corpus."""
+    cell = _shingle(F.col("i")).bitwiseAND(F.lit(CELLS - 1)).cast("int")
+    counts = lines.select("hashes", F.explode_outer(_begins()).alias("i")).groupBy(cell.alias("cell")).agg(F.count("*").alias("c"))
+    out, count = np.zeros(CELLS, np.int16), np.zeros(CELLS)
+    for r in counts.collect():
+        count[r["cell"]] = r["c"]
+    mean = float(count.mean())
+    common = count > COMMON * mean
+    out[common] = np.minimum(1 + np.floor(4 * np.log2(count[common] / (COMMON * mean))), LEVELS)
+    return out, mean
+
+
+def _tokens(levels: np.ndarray) -> Column:
+    """The distinct shingles in the order of rarity: 7 bits of level, then 56 of the hash."""
+    table = F.split(F.lit(",".join(map(str, levels.tolist()))), ",").cast("array<int>")  # folded to one constant
+
+    def token(h: Column) -> Column:
+        level = F.get(table, h.bitwiseAND(F.lit(CELLS - 1)).cast("int")).cast("long")
+        return F.shiftleft(level, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+
+    every = F.transform(_begins(), _shingle)
+    return F.sort_array(F.array_distinct(F.transform(every, token) if levels.any() else F.transform(every, lambda h: F.shiftrightunsigned(h, 8))))
+
+
+def _need(a: Column, b: Column) -> Column:
+    """Least overlap of sets of these sizes: 100 * o >= PERCENT * (a + b - o)."""
+    return F.ceil((a + b) * PERCENT / F.lit(100.0 + PERCENT) - F.lit(1e-9))
 
 
-def removed_lines(docs: DataFrame, short: bool = False) -> DataFrame:
-    """(id, line) of every line of ``docs`` (id, text) that goes."""
-    spot, lines = F.struct("id", "line"), _lines(docs, short)
-    top = docs.sparkSession.sparkContext.broadcast(_frequent(docs))
-    occurrences = durable(lines.select("id", "line", "k1"))
-    # a class of equal lines: its first and last occurrence; the first stands for it
-    classes = durable(occurrences.groupBy("k1").agg(F.min(spot).alias("first"), F.max(spot).alias("last")).where("first <> last"))
-    several = _bounded(classes.select("k1", "first"))
-    tokens = lines.mapInArrow(_prefixes(top), "token long, id long, line int, k1 long, n int, pos int")
-    tokens = tokens.join(several, "k1", "left").where(F.col("first").isNull() | (F.col("first") == spot))
-    tokens = tokens.select("token", F.struct(F.struct("id", "line", "k1").alias("at"), "n", "pos").alias("x"))
-    # one exchange; a line has each token once, so a token holds at most one row of each class
-    of = Window.partitionBy("token")
-    multi = durable(tokens.withColumn("size", F.count("*").over(of)).withColumn("top", F.min("x").over(of)).where("size > 1"))
+def _by_id(spots: DataFrame) -> DataFrame:
+    """id, at (its line numbers, ascending). The line numbers of one text are bounded by it."""
+    return durable(spots.groupBy("id").agg(F.sort_array(F.collect_set("line")).alias("at")))
+
+
+def _bounded(by_id: DataFrame, most: int) -> DataFrame:
+    """Broadcast up to ``most`` ids of five line numbers each on average; beyond that, a shuffle join."""
+    n, m = by_id.agg(F.count("*"), F.coalesce(F.sum(F.size("at")), F.lit(0))).first()
+    return F.broadcast(by_id) if n <= most and m <= 5 * most else by_id
+
+
+def removed_lines(docs: DataFrame, short: bool = False, most: int = BROADCAST_ROWS) -> DataFrame:
+    """(id, line) of every line of ``docs`` (id, text) that goes. ``most`` bounds what is broadcast; results don't depend on it."""
+    docs = docs.where("id is not null and text is not null").select("id", "text")
+    # two keys of 64 bits tell a class: among 10^12 different lines two share both with a probability below 10^-14
+    spots = durable(_lines(docs, short).select("id", "line", F.xxhash64("raw").alias("k1"), F.xxhash64(F.lit(1), "raw").alias("k2")))
+    spot = F.struct("id", "line")
+    classes = spots.groupBy("k1", "k2").agg(F.min(spot).alias("first"), F.max(spot).alias("last")).where("first <> last").drop("last")
+    copies = durable(spots.join(classes, ["k1", "k2"]).where(spot != F.col("first")).select("id", "line"))
+    discard(spots)
+    skipped = _by_id(copies)
+    # only the first line of each class gets tokens
+    others = docs.join(_bounded(skipped, most), "id", "left")
+    each = others.select("id", "at", F.posexplode_outer(F.split(F.lower("text"), "\n")).alias("line", "raw")).where(F.col("at").isNull() | ~F.array_contains("at", F.col("line")))
+    lines = _hashed(each.where(F.btrim("raw", F.lit(" " + _OTHER_SPACE)) != "" if short else F.col("raw").rlike(ENOUGH)))
+    levels, mean = _levels(lines)
+    sets = lines.select("id", "line", _tokens(levels).alias("tokens"))
+    n = F.size("tokens")
+    sets = sets.select("id", "line", n.alias("n"), F.slice("tokens", F.lit(1), n - F.ceil(n * PERCENT / F.lit(100)).cast("int") + 1).alias("prefix"))
+    rows = sets.select("id", "line", "n", F.posexplode_outer("prefix").alias("pos", "token"))
+    fullest = F.lit(COMMON * mean) * F.pow(F.lit(2.0), F.shiftright("token", 56) / 4.0)
+    parts = F.when(F.shiftright("token", 56) > 0, F.ceil(fullest / LIST_ROWS)).otherwise(F.lit(1).cast("long"))
+    part = F.when(parts > 1, F.pmod(F.xxhash64("id", "line"), parts)).otherwise(F.lit(0).cast("long"))
+    rows = rows.select("token", part.alias("part"), (parts > 1).alias("dealt"), F.struct(F.struct("id", "line").alias("at"), "n", "pos").alias("x"))
+    # one exchange; a line has each token once, so a list holds at most one row of each class
+    of = Window.partitionBy("token", "part")
+    multi = durable(rows.withColumn("size", F.count("*").over(of)).withColumn("top", F.min("x").over(of)).where("size > 1 or dealt").drop("size", "part"))
 
     def filtered(pairs: DataFrame) -> DataFrame:
         """Length and positional filter of pairs that share a token; the earlier line first."""
@@ -155,40 +153,41 @@ def removed_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     def verified(pairs: DataFrame) -> DataFrame:
         """Of distinct pairs, the later line (at) of those that are similar, on full sets made anew from the text."""
         pairs = durable(pairs)
-        wanted = durable(pairs.select(F.explode(F.array("x_at", "y_at")).alias("at")).distinct())
-        found = lines.join(_bounded(wanted.select(F.col("at.id").alias("id"), F.col("at.line").alias("line")).distinct()), ["id", "line"], "left_semi")
-        full = found.mapInArrow(_sets, "id long, line int, k1 long, tokens array<long>")
-        full = durable(full.select(F.struct("id", "line", "k1").alias("at"), F.array_distinct("tokens").alias("tokens")).dropDuplicates(["at"]))
+        wanted = _by_id(pairs.select(F.explode_outer(F.array("x_at", "y_at")).alias("at")).select("at.id", "at.line"))
+        found = docs.join(_bounded(wanted, most), "id").select("id", "at", F.split(F.lower("text"), "\n").alias("all"))
+        found = found.select("id", F.explode_outer(F.transform("at", lambda i: F.struct(i.alias("line"), F.get("all", i).alias("raw")))).alias("x")).select("id", "x.*").where("raw is not null")
+        full = durable(_hashed(found).select(spot.alias("at"), F.array_distinct(F.transform(_begins(), _shingle)).alias("tokens")).dropDuplicates())
         side = lambda s: full.select(F.col("at").alias(f"{s}_at"), F.col("tokens").alias(f"{s}_tokens"))
         a, b = F.size("x_tokens"), F.size("y_tokens")
         both = pairs.join(side("x"), "x_at").join(side("y"), "y_at")
         o = F.size(F.array_intersect("x_tokens", "y_tokens"))
-        return durable(both.where(100 * o >= PERCENT * (a + b - o)).select(F.col("y_at").alias("at")).distinct())
+        out = durable(both.where(100 * o >= PERCENT * (a + b - o)).select(F.col("y_at").alias("at")).distinct())
+        discard(pairs, wanted, full)
+        return out
 
     # of the earliest lines of its lists, a line meets the earliest: one pair a line
     tops = filtered(multi.select("token", F.col("top").alias("x"), F.col("x").alias("y")))
     late = verified(tops.groupBy("y_at").agg(F.min("x_at").alias("x_at")))
     # what that did not settle meets all that come before it in any of its lists
-    open_ = multi.where("x.at > top.at").select("token", F.col("x").alias("y")).join(late, F.col("y.at") == F.col("at"), "left_anti")
-    late = late.unionByName(verified(filtered(open_.join(multi.select("token", "x"), "token")).distinct())).distinct()
-    # a class is told by its first occurrence: the later of two is late, with all its occurrences
-    late = late.select(F.col("at.k1").alias("k1"), F.lit(True).alias("late"))
-    told = classes.select("k1", "first").join(late, "k1", "full").select("k1", "first", F.coalesce("late", F.lit(False)).alias("late"))
-    return occurrences.join(told, "k1").where(F.col("late") | (spot != F.col("first"))).select("id", "line")
+    open_ = multi.where("x.at > top.at or dealt").select("token", F.col("x").alias("y")).join(late, F.col("y.at") == F.col("at"), "left_anti")
+    late = late.unionByName(verified(filtered(open_.join(multi.select("token", "x"), "token")).distinct()))
+    gone = durable(late.select("at.id", "at.line").unionByName(copies).distinct())
+    discard(multi, copies, skipped)
+    return gone
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: bool = False, most: int = BROADCAST_ROWS) -> DataFrame:
     """``docs`` with all its columns, and ``kept_text`` (without the removed lines), ``n_lines``, ``n_removed``.
 
     A null text stays null; a text whose every line goes becomes empty. With ``short``, lines of fewer than ``K`` words
     take part too.
     """
-    gone = removed_lines(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), short)
-    # the line numbers of one text: bounded by it
-    gone = durable(gone.groupBy("id").agg(F.collect_set("line").alias("_gone")).withColumnRenamed("id", "_id"))
-    if gone.count() <= BROADCAST_ROWS and (gone.agg(F.sum(F.size("_gone"))).first()[0] or 0) <= 5 * BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    out = docs.join(gone, docs[id_col].cast("long") == F.col("_id"), "left")
-    parts = F.split(F.col(text_col).cast("string"), "\n")
-    kept = F.when(F.col("_gone").isNull(), F.col(text_col).cast("string")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_gone", i)), "\n"))
-    return out.select(docs["*"], kept.alias("kept_text"), F.coalesce(F.size(parts), F.lit(0)).alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).alias("n_removed"))
+    own = ("kept_text", "n_lines", "n_removed")
+    key, text = F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")
+    gone = _by_id(removed_lines(docs.select(key, text), short, most))
+    rows = docs.select(F.struct(*[c for c in docs.columns if c.lower() not in own]).alias("row"), key, text)
+    out = rows.join(_bounded(gone, most), "id", "left")
+    parts = F.split("text", "\n")
+    kept = F.when(F.col("at").isNull(), F.col("text")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("at", i)), "\n"))
+    removed = F.when(F.col("at").isNull(), 0).otherwise(F.size(F.filter("at", lambda i: i < F.size(parts))))
+    return out.select("row.*", kept.alias("kept_text"), F.coalesce(F.when(F.col("text").isNotNull(), F.size(parts)), F.lit(0)).alias("n_lines"), F.when(F.col("text").isNull(), 0).otherwise(removed).alias("n_removed"))
