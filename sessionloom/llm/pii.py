@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# the contract's pattern, begun at the first digit of a run only and without giving digits back: the same matches, as a
+# beginning that fails does so for the whole run, and no run of digits is read twice
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -61,7 +63,7 @@ def detect(text: str) -> dict[str, list[tuple[int, int]]]:
     """Base spans by kind: leftmost, non-overlapping; failing matches are dropped without another try."""
     found = {"email": emails(text)}
     found["ip"] = [m.span() for m in _IP.finditer(text) if all(_small(p) for p in m.group().split("."))]
-    found["card"] = [m.span() for m in _CARD.finditer(text) if m.end() - m.start() >= 13 and 13 <= len(d := _digits(m.group())) <= 19 and luhn(d)]
+    found["card"] = [m.span() for m in _CARD.finditer(text) if 13 <= m.end() - m.start() <= 37 and 13 <= len(d := _digits(m.group())) <= 19 and luhn(d)]
     found["phone"] = [m.span() for m in _PHONE.finditer(text) if 9 <= len(_digits(m.group())) <= 15] if "+" in text else []
     return found
 
@@ -132,31 +134,48 @@ def homoglyphs(t: Transduced) -> Transduced:
 # Number words.
 _NUMBER = {w: str(d) for words in ("zero one two three four five six seven eight nine", "zéro un deux trois quatre cinq six sept huit neuf", "null eins zwei drei vier fünf sechs sieben acht neun", "cero uno dos tres cuatro cinco seis siete ocho nueve") for d, w in enumerate(words.split())} | {"oh": "0", "plus": "+", "más": "+", "dash": "-", "hyphen": "-"}
 _WORD = "|".join(sorted(map(re.escape, _NUMBER), key=len, reverse=True))
-_ONE = re.compile(rf"(?i)(?<![^\W_])(?:{_WORD})(?![^\W_])")
 _BETWEEN = r"(?:\x20(?:dot|point|punkt|punto)\x20|[\x20.,()-]{1,3})"
 #: On lower-cased text: two number words, or one and a digit in either order, side by side.
 _HINT = re.compile(rf"(?:{_WORD}){_BETWEEN}(?:{_WORD}|[0-9])|[0-9]{_BETWEEN}(?:{_WORD})")
 _POINT = re.compile(r"(?i)\x20+(?:dot|point|punkt|punto)\x20+")
-_RUN = re.compile(rf"(?i)(?<![^\W_])(?:\+[\x20]?)?(?:(?:{_WORD}|[0-9]+)(?:\x20(?:dot|point|punkt|punto)\x20|[\x20.,()-]{{0,3}})){{4,}}(?:{_WORD}|[0-9]+)(?![^\W_])")
+#: A number by itself: a number word, or digits. Tokens are told first and runs of them found in plain code, so no text is
+#: split in more than one way.
+_TOKEN = re.compile(rf"(?i)(?<![^\W_])(?:(?P<word>{_WORD})|[0-9]++)(?![^\W_])")
+_SEPARATOR = re.compile(r"(?i)\x20(?:dot|point|punkt|punto)\x20|[\x20.,()-]{0,3}")
+
+
+def _runs(text: str) -> Iterator[list[re.Match]]:
+    """The tokens of each run: numbers with nothing but separators between them."""
+    run: list[re.Match] = []
+    for m in _TOKEN.finditer(text):
+        if run and not _SEPARATOR.fullmatch(text, run[-1].end(), min(m.start(), run[-1].end() + 16)):
+            yield run
+            run = []
+        run.append(m)
+    if run:
+        yield run
 
 
 def spelled(t: Transduced) -> Transduced:
-    """Number words in runs of at least five numbers, be it one word among digits, become digits; single spaces between the words go."""
+    """Number words in runs of at least five digits (a word is one), be it one word among digits, become digits; single
+    spaces between the words go."""
     if not _HINT.search(t.text.lower()):
         return t
     edits = []
-    for run in _RUN.finditer(t.text):
-        words = list(_ONE.finditer(t.text, run.start(), run.end()))
-        if not words:
+    for run in _runs(t.text):
+        words = [m for m in run if m["word"]]
+        if not words or sum(1 if m["word"] else m.end() - m.start() for m in run) < 5:
             continue
         last = -1
         for m in words:
             a = m.start()
             if last >= 0 and t.text[last:a] == " ":
                 a = last  # the space before goes with the word
-            edits.append((a, m.end(), _NUMBER[m.group().lower()]))
-            last = m.end()
-        edits += [(m.start(), m.end(), ".") for m in _POINT.finditer(t.text, run.start(), run.end())]
+            new, last = _NUMBER[m.group().lower()], m.end()
+            while new == "+" and t.text[last : last + 1] == " " and m is not run[-1]:
+                last += 1  # and those after a plus
+            edits.append((a, last, new))
+        edits += [(m.start(), m.end(), ".") for m in _POINT.finditer(t.text, run[0].start(), run[-1].end())]
     edits.sort()
     clean, free = [], 0
     for a, b, new in edits:
@@ -172,7 +191,9 @@ _DOT = r"(?:\x20*[\[({<]\x20*(?:dot|\.|point|punkt|punto)\x20*[\])}>]\x20*|\x20+
 _SPACED = re.compile(r"(?<=[A-Za-z0-9])\x20+@\x20*(?=[A-Za-z0-9-]+\x20*\.)|(?<=[A-Za-z0-9])@\x20+(?=[A-Za-z0-9-]+\x20*\.)")
 _LABEL = r"[A-Za-z0-9-]+"
 # a bracketed "at" or a true @ may stand before true full stops; a bare word "at" needs a disguised one after it
-_MAIL = re.compile(rf"(?i)[a-z0-9_%+-]+(?:(?:\.|{_DOT})[a-z0-9_%+-]+)*(?:{_AT}{_LABEL}(?:(?:\.|{_DOT}){_LABEL})*(?:\.|{_DOT})[a-z]{{2,12}}|@{_LABEL}(?:(?:\.|{_DOT}){_LABEL})*{_DOT}[a-z]{{2,12}}|{_AT_WORD}{_LABEL}(?:(?:\.|{_DOT}){_LABEL})*{_DOT}[a-z]{{2,12}})(?![A-Za-z0-9])")
+# the part before the "at" is read in one way only: _dot_ and _at_ are no part of a name
+_NAME = r"(?:(?!_dot_|_at_)[a-z0-9_%+-])++"
+_MAIL = re.compile(rf"(?i){_NAME}(?:(?:\.|{_DOT}){_NAME})*(?:{_AT}{_LABEL}(?:(?:\.|{_DOT}){_LABEL})*(?:\.|{_DOT})[a-z]{{2,12}}|@{_LABEL}(?:(?:\.|{_DOT}){_LABEL})*{_DOT}[a-z]{{2,12}}|{_AT_WORD}{_LABEL}(?:(?:\.|{_DOT}){_LABEL})*{_DOT}[a-z]{{2,12}})(?![A-Za-z0-9])")
 _MAIL_HINT = re.compile(r"(?i)[\[({<]\x20*(?:at|@|arobase|arroba|ät|dot|point|punkt|punto|\.)\x20*[\])}>]|\x20(?:dot|point|punkt|punto)\x20|_at_|_dot_")
 _IP_WORDS = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:(?:\.|{_DOT})[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
 _AT_ANY, _DOT_ANY = re.compile(rf"(?i){_AT}|{_AT_WORD}"), re.compile(rf"(?i){_DOT}")
