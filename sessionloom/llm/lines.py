@@ -100,6 +100,11 @@ def _tokens(levels: np.ndarray) -> Column:
     return F.sort_array(F.array_distinct(F.transform(every, token) if levels.any() else F.transform(every, lambda h: F.shiftrightunsigned(h, 8))))
 
 
+def _prefix(n: Column) -> Column:
+    """How many tokens of a set of n make its prefix."""
+    return n - F.ceil(n * PERCENT / F.lit(100)).cast("int") + 1
+
+
 def _need(a: Column, b: Column) -> Column:
     """Least overlap of sets of these sizes: 100 * o >= PERCENT * (a + b - o)."""
     return F.ceil((a + b) * PERCENT / F.lit(100.0 + PERCENT) - F.lit(1e-9))
@@ -122,9 +127,9 @@ def removed_lines(docs: DataFrame, short: bool = False, most: int = BROADCAST_RO
     # two keys of 64 bits tell a class: among 10^12 different lines two share both with a probability below 10^-14
     spots = durable(_lines(docs, short).select("id", "line", F.xxhash64("raw").alias("k1"), F.xxhash64(F.lit(1), "raw").alias("k2")))
     spot = F.struct("id", "line")
-    classes = spots.groupBy("k1", "k2").agg(F.min(spot).alias("first"), F.max(spot).alias("last")).where("first <> last").drop("last")
+    classes = durable(spots.groupBy("k1", "k2").agg(F.min(spot).alias("first"), F.max(spot).alias("last")).where("first <> last").drop("last"))
     copies = durable(spots.join(classes, ["k1", "k2"]).where(spot != F.col("first")).select("id", "line"))
-    discard(spots)
+    discard(spots, classes)
     skipped = _by_id(copies)
     # only the first line of each class gets tokens
     others = docs.join(_bounded(skipped, most), "id", "left")
@@ -133,22 +138,29 @@ def removed_lines(docs: DataFrame, short: bool = False, most: int = BROADCAST_RO
     levels, mean = _levels(lines)
     sets = lines.select("id", "line", _tokens(levels).alias("tokens"))
     n = F.size("tokens")
-    sets = sets.select("id", "line", n.alias("n"), F.slice("tokens", F.lit(1), n - F.ceil(n * PERCENT / F.lit(100)).cast("int") + 1).alias("prefix"))
+    sets = sets.select("id", "line", n.alias("n"), F.slice("tokens", F.lit(1), _prefix(n)).alias("prefix"))
     rows = sets.select("id", "line", "n", F.posexplode_outer("prefix").alias("pos", "token"))
     fullest = F.lit(COMMON * mean) * F.pow(F.lit(2.0), F.shiftright("token", 56) / 4.0)
     parts = F.when(F.shiftright("token", 56) > 0, F.ceil(fullest / LIST_ROWS)).otherwise(F.lit(1).cast("long"))
     part = F.when(parts > 1, F.pmod(F.xxhash64("id", "line"), parts)).otherwise(F.lit(0).cast("long"))
-    rows = rows.select("token", part.alias("part"), (parts > 1).alias("dealt"), F.struct(F.struct("id", "line").alias("at"), "n", "pos").alias("x"))
     # one exchange; a line has each token once, so a list holds at most one row of each class
-    of = Window.partitionBy("token", "part")
-    multi = durable(rows.withColumn("size", F.count("*").over(of)).withColumn("top", F.min("x").over(of)).where("size > 1 or dealt").drop("size", "part"))
-
-    def filtered(pairs: DataFrame) -> DataFrame:
-        """Length and positional filter of pairs that share a token; the earlier line first."""
+    rows = rows.select("token", part.alias("part"), "id", "line", "n", "pos")
+    of, x = Window.partitionBy("token", "part"), F.struct(F.struct("id", "line").alias("at"), "n", "pos")
+    listed = rows.withColumn("size", F.count("*").over(of)).withColumn("top", F.min(x).over(of)).where((F.col("size") > 1) | (parts > 1))
+    multi = durable(listed.select("token", (parts > 1).alias("dealt"), x.alias("x"), "top"))
+
+    def met(pairs: DataFrame) -> DataFrame:
+        """Of rows (x, y) that share a token, the pairs (x_at, y_at, common) that may be similar, the earlier line first.
+        Tokens have one order, so two lines have no more in common than what they share of their prefixes and, of the
+        line whose prefix ends first, the rest; nor more than what follows the last token they share there."""
         x, y = F.col("x"), F.col("y")
-        room = F.least(x["n"] - x["pos"], y["n"] - y["pos"])
-        ok = (x["at"] < y["at"]) & (100 * x["n"] >= PERCENT * y["n"]) & (100 * y["n"] >= PERCENT * x["n"]) & (room >= _need(x["n"], y["n"]))
-        return pairs.where(ok).select(x["at"].alias("x_at"), y["at"].alias("y_at"))
+        ok = (x["at"] < y["at"]) & (100 * x["n"] >= PERCENT * y["n"]) & (100 * y["n"] >= PERCENT * x["n"])
+        low, high = F.min, F.max
+        each = pairs.where(ok).groupBy(x["at"].alias("x_at"), y["at"].alias("y_at")).agg(F.count("*").alias("common"), *[f(c[k]).alias(n) for n, f, c, k in (("nx", low, x, "n"), ("ny", low, y, "n"), ("fx", low, x, "pos"), ("fy", low, y, "pos"), ("lx", high, x, "pos"), ("ly", high, y, "pos"))])
+        nx, ny = F.col("nx"), F.col("ny")
+        rest = F.least(F.greatest(nx - _prefix(nx), ny - _prefix(ny)), nx - 1 - F.col("lx"), ny - 1 - F.col("ly"))
+        most = F.least(F.col("common") + rest, nx - F.col("fx"), ny - F.col("fy"))
+        return each.where(most >= _need(nx, ny)).select("x_at", "y_at", "common")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Of distinct pairs, the later line (at) of those that are similar, on full sets made anew from the text."""
@@ -165,12 +177,12 @@ def removed_lines(docs: DataFrame, short: bool = False, most: int = BROADCAST_RO
         discard(pairs, wanted, full)
         return out
 
-    # of the earliest lines of its lists, a line meets the earliest: one pair a line
-    tops = filtered(multi.select("token", F.col("top").alias("x"), F.col("x").alias("y")))
-    late = verified(tops.groupBy("y_at").agg(F.min("x_at").alias("x_at")))
+    # of the earliest lines of its lists, a line meets the one it shares most tokens with: one pair a line
+    tops = met(multi.select(F.col("top").alias("x"), F.col("x").alias("y")))
+    late = verified(tops.groupBy("y_at").agg(F.max_by("x_at", "common").alias("x_at")))
     # what that did not settle meets all that come before it in any of its lists
     open_ = multi.where("x.at > top.at or dealt").select("token", F.col("x").alias("y")).join(late, F.col("y.at") == F.col("at"), "left_anti")
-    late = late.unionByName(verified(filtered(open_.join(multi.select("token", "x"), "token")).distinct()))
+    late = late.unionByName(verified(met(open_.join(multi.select("token", "x"), "token")).select("x_at", "y_at")))
     gone = durable(late.select("at.id", "at.line").unionByName(copies).distinct())
     discard(multi, copies, skipped)
     return gone

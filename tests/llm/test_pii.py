@@ -63,7 +63,7 @@ def test_planted_disguises_of_all_kinds_are_added():
 
 
 def test_personal_data(spark):
-    texts = ["a.b@c.de and 10.0.0.1", "", None, "john at example dot com", "x" * 200_000 + " a@b.cd", "\U0001f600 a@b.cd"]
+    texts = ["a.b@c.de and 10.0.0.1", "", None, "john at example dot com", "x " * 100_000 + "a@b.cd", "\U0001f600 a@b.cd"]
     rows = [(i, t, 1, "n") for i, t in enumerate(texts)]
     d = spark.createDataFrame([*rows, rows[0], (None, "a@b.cd", 2, "m")], "doc_id long, text string, n_email int, spans string")
     got = pii.personal_data(d).collect()
