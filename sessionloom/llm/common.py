@@ -7,6 +7,7 @@ The text kernels work on the bytes of a whole Arrow column with numpy, so no Pyt
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -63,9 +64,12 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Remove durable tables that nothing will read any more."""
+    """Remove durable tables that nothing will read any more, and let Spark drop the shuffle files of what made them:
+    it does so once the JVM has collected the plans."""
     for df in tables:
         _remove(df.sparkSession, df._durable_path)
+    gc.collect()
+    tables[0].sparkSession._jvm.System.gc()
 
 
 # ---------------------------------------------------------------- text kernels
