@@ -137,15 +137,16 @@ def _aligned(seeds: Seeds):
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 1) -> DataFrame:
     """(doc_id, item_id, score) of every document and item that a passage aligns with, at a score of ``LEAST`` or more;
-    the score is 1 for a whole verbatim copy."""
+    the score is 1 for a whole verbatim copy. Items of fewer than ``least_words`` words take no part: a text that holds
+    one or two everyday words is no copy of anything."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     blocks = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS))
     found = []
     for b in range(blocks):
-        seeds = Seeds([(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()])
+        seeds = Seeds([(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id", "text").collect() if len(normalised(r["text"]).split()) >= least_words])
         if not seeds.names:
             continue
         passages = rows.mapInArrow(_passages(seeds), "id long, seeds array<int>, words string")

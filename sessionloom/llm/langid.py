@@ -124,17 +124,19 @@ def cut_windows(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return room.reshape(-1, WINDOW), owner, weight.astype(np.float64)
 
 
-def learn(labelled: DataFrame, per_lang: int = 300, chars: int = 1024, max_langs: int = 200) -> ByteConvNet | None:
-    """Fit on at most about ``per_lang`` rows (id, text, lang) of each of the ``max_langs`` commonest languages."""
+def learn(labelled: DataFrame, per_lang: int = 300, chars: int = 1024, most: int = 60_000) -> ByteConvNet | None:
+    """Fit on about ``per_lang`` rows (id, text, lang) of each language; with so many languages that these would be more
+    than ``most`` rows, on as many fewer of each. Every language that has a text is learned."""
     labelled = labelled.where("lang is not null and text is not null and length(text) > 0")
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()  # a row for each language
     if not counts:
         return None
+    per_lang = max(1, min(per_lang, most // len(counts)))
     # a hashed share of each language, about per_lang rows of it
     share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1.0, per_lang / r["count"]))) for r in counts], F.lit(0.0))
     hashed = F.pmod(F.xxhash64("id", F.lit(99)), F.lit(1_000_000)) / F.lit(1_000_000.0)
     start = F.pmod(F.xxhash64("id", F.lit(7)), F.greatest(F.length("text") - chars, F.lit(0)) + 1).cast("int") + 1
-    got = labelled.where(hashed < share).select("lang", F.substring("text", start, F.lit(chars)).alias("text")).orderBy(F.xxhash64("id", F.lit(3)), "id").limit(2 * per_lang * len(counts)).toArrow()
+    got = labelled.where(hashed < share).select("lang", F.substring("text", start, F.lit(chars)).alias("text")).orderBy(F.xxhash64("id", F.lit(3)), "id").limit(max(2 * per_lang, 16) * len(counts)).toArrow()
     langs = sorted({x for x in got.column(0).to_pylist()})
     if not langs:
         return None
@@ -152,6 +154,18 @@ def learn(labelled: DataFrame, per_lang: int = 300, chars: int = 1024, max_langs
 _LETTER = r"\p{L}"
 
 
+def predicted(text: Column, net: ByteConvNet | None) -> Column:
+    """A struct (lang_pred, score) of a text: of a row, only the text leaves the JVM."""
+
+    def run(column: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([column.cast(pa.string())], ["text"])
+        parts = [out.select(["lang_pred", "score"]).to_struct_array() for out in _predict(net)(iter([batch]))]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("lang_pred", pa.string()), ("score", pa.float64())]))
+
+    # else the optimizer would compute it once for a filter and once more for its columns
+    return F.arrow_udf(run, "struct<lang_pred:string,score:double>").asNondeterministic()(text)
+
+
 def _predict(net: ByteConvNet | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if net is not None:
