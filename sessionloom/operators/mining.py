@@ -42,16 +42,16 @@ def phrase_hits(texts: DataFrame, phrases: list[str], least: int = 3, most_norma
     return out.where((F.col("anom_sessions") >= least) & (F.col("norm_sessions") <= most_normal)).withColumn("confidence", F.when(F.col("norm_sessions") == 0, 0.9).otherwise(0.75))
 
 
-def seq_ngrams(s: DataFrame, keep: list[str], sizes: tuple[int, ...] = (2, 3)) -> DataFrame:
-    """keep, n, gram: each contiguous n-gram of ``event_seq``, by a projection, without a shuffle."""
+def seq_ngrams(s: DataFrame, keep: list[str], sizes: tuple[int, ...] = (2, 3), place: str | None = None) -> DataFrame:
+    """keep, n, gram (and its place, if named): each contiguous n-gram of ``event_seq``, by a projection, without a shuffle."""
     q = F.col("event_seq")
 
     def of(n: int):
-        each = F.transform(F.sequence(F.lit(1), F.size(q) - n + 1), lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(q, i, n).cast("array<string>"), " ").alias("gram")))
+        each = F.transform(F.sequence(F.lit(1), F.size(q) - n + 1), lambda i: F.struct(F.lit(n).alias("n"), i.alias("at"), F.array_join(F.slice(q, i, n).cast("array<string>"), " ").alias("gram")))
         return F.when(F.size(q) >= n, each)
 
     grams = [of(n) for n in sizes]
-    return s.select(*keep, F.explode(F.flatten(F.array_compact(F.array(*grams)))).alias("g")).select(*keep, "g.n", "g.gram")
+    return s.select(*keep, F.explode(F.flatten(F.array_compact(F.array(*grams)))).alias("g")).select(*keep, "g.n", "g.gram", *([F.col("g.at").alias(place)] if place else []))
 
 
 def representative_grams(s: DataFrame, cluster: str, tops: dict[int, int]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +19,7 @@ class Clause:
     row_id: int | None = None
     count: int = 1
     phrase: str = ""
+    event_id: str | None = None
 
     def column(self, seq: Column, texts: Column | None = None) -> Column:
         if self.kind == "template_contains":
@@ -43,7 +44,7 @@ class Rule:
     confidence: float = 0.8
     cluster_id: str | None = None
     any_only: bool = False
-    more: dict = field(default_factory=dict, compare=False)
+    explanation: str = ""
 
     def column(self, seq: Column, texts: Column | None = None) -> Column:
         some = F.lit(False)
@@ -57,25 +58,42 @@ class Rule:
         return (some if self.if_any else F.lit(True)) & every
 
 
-def normalised(raw: dict, ids: dict[str, int]) -> Rule | None:
-    """A rule of untrusted JSON: known clauses only, event ids to row ids; None if no clause is left."""
+def _ids(v) -> tuple[int, ...] | None:
+    return tuple(v) if isinstance(v, list) and v and all(isinstance(i, int) and not isinstance(i, bool) for i in v) else None
+
+
+def _number(v, kind, other):
+    try:
+        return kind(v)
+    except (TypeError, ValueError, OverflowError):
+        return other
 
-    def clause(c: dict) -> Clause | None:
-        for kind in ("template_contains", "min_count", "ordered_subset", "contains_ngram", "absent_within"):
-            if kind not in c:
-                continue
-            v = c[kind]
-            if kind == "template_contains" and isinstance(v, str) and v:
-                return Clause(kind, phrase=v)
-            if kind in ("ordered_subset", "contains_ngram") and isinstance(v, list) and v and all(isinstance(i, int) for i in v):
-                return Clause(kind, rids=tuple(v))
-            if kind in ("min_count", "absent_within") and isinstance(v, dict):
-                row = v.get("row_id", ids.get(str(v.get("event_id"))))
-                return Clause(kind, row_id=row, count=int(v.get("count", 1)))
-        return None
 
-    parts = [tuple(x for c in raw.get(k) or () if isinstance(c, dict) and (x := clause(c))) for k in ("if_any", "if_all")]
-    return Rule(str(raw.get("name", "rule")), *parts, confidence=float(raw.get("confidence", 0.8))) if any(parts) else None
+def clause_of(c, ids: dict[str, int]) -> Clause | None:
+    """A clause of untrusted JSON; the first of its known keys counts. Row ids win over event ids."""
+    if not isinstance(c, dict):
+        return None
+    for kind in ("min_count", "ordered_subset", "contains_ngram", "absent_within"):
+        v = c.get(kind)
+        if kind in ("ordered_subset", "contains_ngram") and _ids(v):
+            return Clause(kind, rids=_ids(v))
+        if kind in ("min_count", "absent_within") and isinstance(v, dict):
+            row, event = v.get("row_id"), v.get("event_id")
+            row = row if isinstance(row, int) and not isinstance(row, bool) else ids.get(str(event))
+            if row is not None or event is not None:
+                return Clause(kind, row_id=row, count=_number(v.get("count", 1), int, 1), event_id=None if event is None else str(event))
+    return None
+
+
+def normalised(raw, ids: dict[str, int]) -> Rule | None:
+    """A rule of untrusted JSON: known clauses only, event ids to row ids; None if no clause is left."""
+    if not isinstance(raw, dict):
+        return None
+    parts = [tuple(x for c in (raw.get(k) if isinstance(raw.get(k), list) else ()) if (x := clause_of(c, ids))) for k in ("if_any", "if_all")]
+    if not any(parts):
+        return None
+    cluster = raw.get("cluster_id")
+    return Rule(str(raw.get("name", "rule")), *parts, confidence=_number(raw.get("confidence", 0.0), float, 0.0), cluster_id=None if cluster is None else str(cluster), any_only=bool(raw.get("cluster_score_if_any_only", False)), explanation=str(raw.get("explanation", "")))
 
 
 def fires(s: DataFrame, rules: list[Rule], texts: str | None = None) -> DataFrame:

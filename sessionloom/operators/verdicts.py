@@ -32,9 +32,10 @@ def threshold_grid(s: DataFrame, score: str = "score") -> DataFrame:
     return prf1(grid.withColumn("pred", (F.col(score) >= F.col("th")).cast("int")), by=["th"])
 
 
-def fire_rates(df: DataFrame, pred: str = "pred") -> DataFrame:
+def fire_rates(df: DataFrame, pred: str = "pred", by: list[str] | None = None) -> DataFrame:
+    """Shares of all sessions and of normal ones that fire; where there is no normal one, of all."""
     p = F.col(pred).cast("double")
-    return df.agg(F.avg(p).alias("fire_rate"), F.coalesce(F.avg(F.when(F.col("label") == 0, p)), F.avg(p)).alias("normal_fire_rate"))
+    return df.groupBy(*(by or [])).agg(F.avg(p).alias("fire_rate"), F.coalesce(F.avg(F.when(F.col("label") == 0, p)), F.avg(p)).alias("normal_fire_rate"))
 
 
 def fuse(legs: list[Column], strategy: str = "or") -> Column:
@@ -76,8 +77,8 @@ def tfidf(rows: DataFrame) -> DataFrame:
     """(session_id, term) occurrences to L2-normalised tf * (ln((1 + N) / (1 + df)) + 1)."""
     tf = rows.groupBy("session_id", "term").agg(F.count("*").alias("tf"))
     df_ = tf.groupBy("term").agg(F.count("*").alias("df"))
-    n = rows.select("session_id").distinct().count()
-    raw = tf.join(df_, "term").withColumn("w", F.col("tf") * (F.log((F.lit(1.0) + n) / (1 + F.col("df"))) + 1))
+    n = tf.agg(F.countDistinct("session_id").alias("n"))  # one row
+    raw = tf.join(df_, "term").crossJoin(F.broadcast(n)).withColumn("w", F.col("tf") * (F.log((F.lit(1.0) + F.col("n")) / (1 + F.col("df"))) + 1))
     return raw.withColumn("tfidf", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("session_id")))).select("session_id", "term", "tfidf")
 
 

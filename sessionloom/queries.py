@@ -200,9 +200,9 @@ def gate_llm(spark, d):
 
 @query(FIRED + ", l as (select unnest([struct_pack(leg := 'r0', v := r0::int), struct_pack(leg := 'r1', v := r1::int), struct_pack(leg := 'r2', v := r2::int)]) x, label from f) select x.leg leg, round(avg(x.v), 9) fire_rate, round(avg(x.v) filter (label = 0), 9) normal_fire_rate, avg(x.v) filter (label = 0) <= 0.35 kept from l group by 1")
 def leg_filter(spark, d):
-    legs = _legs(spark, d).select("label", F.explode(F.array(*[F.struct(F.lit(f"r{i}").alias("leg"), F.col(f"r{i}").alias("v")) for i in range(3)])).alias("x"))
-    normal = F.avg(F.when(F.col("label") == 0, F.col("x.v")))
-    return legs.groupBy("x.leg").agg(F.round(F.avg("x.v"), 9).alias("fire_rate"), F.round(normal, 9).alias("normal_fire_rate"), (normal <= 0.35).alias("kept"))
+    legs = _legs(spark, d).select("label", F.explode(F.array(*[F.struct(F.lit(f"r{i}").alias("leg"), F.col(f"r{i}").alias("pred")) for i in range(3)])).alias("x")).select("label", "x.*")
+    rates = V.fire_rates(legs, by=["leg"])
+    return rates.select("leg", F.round("fire_rate", 9).alias("fire_rate"), F.round("normal_fire_rate", 9).alias("normal_fire_rate"), (F.col("normal_fire_rate") <= 0.35).alias("kept"))
 
 
 @query(FIRED + ", c as (select count(*) filter ((r0 or r1) and label = 1) tp, count(*) filter ((r0 or r1) and label = 0) fp, count(*) filter (not (r0 or r1) and label = 1) fn, count(*) filter (not (r0 or r1) and label = 0) tn from f) select tp, fp, fn, tn, round(tp / (tp + fp), 9) \"precision\", round(tp / (tp + fn), 9) recall, round(2.0::double * tp / (2 * tp + fp + fn), 9) f1 from c")
@@ -339,3 +339,6 @@ def _driver_query(name: str, sql: str) -> None:
 
 _driver_query("order_sequences", "select l_orderkey session_id, count(*) n_events, max(case when l_returnflag = 'R' then 1 else 0 end) returned from {lineitem} group by l_orderkey")
 _driver_query("order_bigrams", "select gram, count(*) support from (select concat(l_returnflag, l_linestatus, ' ', lead(concat(l_returnflag, l_linestatus)) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey)) gram, lead(l_linenumber) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) more from {lineitem}) x where more is not null group by gram")
+
+
+from . import knowledge_queries as _more  # noqa: E402, F401  registers its own beside these

@@ -29,6 +29,11 @@ def _csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     return df.select(*[F.coalesce(c, F.lit("")).alias(c) for c in df.columns]).withColumn("line_id", F.monotonically_increasing_id())  # grows with the place in the file
 
 
+def _whole(column: str) -> Column:
+    """A number in a text, without its fraction; null if it is none."""
+    return F.expr(f"try_cast(try_cast(trim(`{column}`) as double) as bigint)")
+
+
 def hdfs(spark: SparkSession, path: str, labels: str) -> DataFrame:
     raw = _csv(spark, path, ["Content", "EventId", "EventTemplate"])
     y = _csv(spark, labels, ["BlockId", "Label"]).select(F.col("BlockId").alias("sk"), (F.col("Label") == "Anomaly").cast("int").alias("y")).dropDuplicates(["sk"])
@@ -42,15 +47,17 @@ def bgl(spark: SparkSession, path: str) -> DataFrame:
     if key is None:
         raise ValueError(f"{path} has neither Node nor NodeRepeat")
     anom: Column = (F.col("Label") != "-") if "Label" in raw.columns else F.col("Level").rlike("(?i)ERROR|SEVERE|FATAL") if "Level" in raw.columns else F.lit(False)
-    ts = F.expr("try_cast(Timestamp as bigint)") if "Timestamp" in raw.columns else F.lit(None).cast("long")
+    ts = _whole("Timestamp") if "Timestamp" in raw.columns else F.lit(None).cast("long")
     return raw.select("line_id", ts.alias("ts_sec"), F.col(key).alias("sk"), F.col("EventId").alias("eid"), F.col("EventTemplate").alias("template"), anom.cast("int").alias("anom"))
 
 
-def liberty(spark: SparkSession, path: str, bucket: int = 100, ids: str = "log") -> DataFrame:
+def liberty(spark: SparkSession, path: str, bucket: int = 600, ids: str = "log") -> DataFrame:
+    """Sessions of a host in ``bucket`` seconds. ``ids``: the line, or ``label_token``, whose dictionary is that of
+    ``sequences.templates(..., by_name=True)``."""
     raw = _csv(spark, path, ["ts", "Label", "log", "LabelToken"])
-    ts = F.coalesce(F.expr("try_cast(ts as bigint)"), F.lit(0)).cast("long")
+    ts = F.coalesce(_whole("ts"), F.lit(0)).cast("long")
     eid = F.col("log") if ids == "log" else F.col("LabelToken")
-    return raw.select("line_id", ts.alias("ts_sec"), S.bucket_key(S.host(F.col("log")), ts, bucket).alias("sk"), eid.alias("eid"), F.col("log").alias("template"), F.coalesce(F.expr("try_cast(Label as int)"), F.lit(0)).alias("anom"))
+    return raw.select("line_id", ts.alias("ts_sec"), S.bucket_key(S.host(F.col("log")), ts, bucket).alias("sk"), eid.alias("eid"), eid.alias("template"), F.col("log").alias("raw"), F.coalesce(_whole("Label") == 1, F.lit(False)).cast("int").alias("anom"))
 
 
 READERS: dict[str, Callable[..., DataFrame]] = {"HDFS": hdfs, "BGL": bgl, "LIBERTY": liberty, "THUNDERBIRD": bgl, "TBD": bgl, "TBIRD": bgl, "SPIRIT": bgl, "EVENTS": events}

@@ -19,7 +19,7 @@ def db():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"disc_patterns"}))  # its threshold is lower on this table
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, db, name):
     a, b = QUERIES[name](spark, DIR).toPandas(), db.sql(ORACLES[name]).df()
     assert sorted(a.columns) == sorted(b.columns)
