@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.ml.clustering import BisectingKMeans
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -188,9 +188,10 @@ def assigned(weights: DataFrame, size: int = 10, samples: int | None = None, mos
         names, x = dense(weights)
         label, strength = with_retries(x, size, samples)
         return spark.createDataFrame(list(zip(names, label.tolist(), strength.tolist(), strict=True)), "session_id string, cluster int, strength double")
-    cell = F.pmod(F.xxhash64("term"), F.lit(256)).cast("int")
-    per = weights.groupBy("session_id", cell.alias("cell")).agg(F.sum("tfidf").alias("v")).groupBy("session_id").agg(F.map_from_entries(F.collect_list(F.struct("cell", "v"))).alias("m"))
-    rows = per.select("session_id", array_to_vector(F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))).alias("features"))
+    # weights summed in 256 hash cells of the terms
+    per = weights.groupBy("session_id", F.pmod(F.xxhash64("term"), F.lit(256)).alias("cell")).agg(F.sum("tfidf").alias("v"))
+    named = per.groupBy("session_id").pivot("cell", list(range(256))).agg(F.first("v")).na.fill(0.0)
+    rows = VectorAssembler(inputCols=[str(i) for i in range(256)], outputCol="features").transform(named).select("session_id", "features")
     k = max(2, min(64, n // max(size, 1)))
     model = BisectingKMeans(k=k, minDivisibleClusterSize=float(size), seed=43).fit(rows)
     return model.transform(rows).select("session_id", F.col("prediction").alias("cluster"), F.lit(1.0).alias("strength"))

@@ -11,7 +11,8 @@ from collections.abc import Callable
 
 from pyspark.ml import Model
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import HashingTF
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,10 +45,8 @@ def features(w: DataFrame, name: str, cells: int = 256, tokens: str = "tokens")
     """``w`` with a vector ``features``: counts of the backbone's pieces in ``cells`` hash cells, without a shuffle."""
     if name.lower() not in FEATURES:
         raise ValueError(f"unknown backbone {name}; known: {sorted(FEATURES)}")
-    cell = F.transform(FEATURES[name.lower()](F.col(tokens)), lambda g: F.pmod(F.xxhash64(g), F.lit(cells)).cast("int"))
-    found = F.array_sort(cell)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), lambda i: F.size(F.filter("_cells", lambda c: c == i)).cast("double"))
-    return w.withColumn("_cells", found).withColumn("features", array_to_vector(counts)).drop("_cells")
+    pieces = w.withColumn("_pieces", FEATURES[name.lower()](F.col(tokens)))
+    return HashingTF(numFeatures=cells, inputCol="_pieces", outputCol="features").transform(pieces).drop("_pieces")
 
 
 def with_teacher(w: DataFrame, judged: DataFrame) -> DataFrame:

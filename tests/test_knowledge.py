@@ -213,6 +213,7 @@ def test_cluster_bundle_and_rules(spark, s):
     assert [(r.name, r.confidence, r.any_only) for r in rules] == [("cluster_0_ng2_0_1", 0.8, True), ("cluster_0_ng2_2_2", 0.8, True), ("cluster_0_ng3_0_1_2", 0.8, True)]
     told = K.artifacts(reps, s, spark.createDataFrame([("0", "r", ["A"], "d")], "cluster_id string, rule_id string, pattern array<string>, description string"), spark.createDataFrame([], "cluster_id string, text string")).first()
     assert json.loads(told.artifact_json)["derived_rules"][0]["rule_id"] == "r" and len(json.loads(told.artifact_json)["representative_sequences"]) == 3
+    assert {r.cluster for r in K.assigned(w, 1, most=0).collect()} <= set(range(64)) and K.assigned(w, 1, most=0).count() == 3
     assert K.assigned(w, 2).where("cluster >= 0").count() == 3 and K.assigned(w.limit(0)).count() == 0
     assert sorted(r.term for r in K.terms(spark.createDataFrame([("a", [3, 12, 14])], "session_id string, event_seq array<int>"), "tfidf-template").collect()) == ["12", "12 14", "14"]
 
