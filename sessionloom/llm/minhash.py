@@ -79,41 +79,44 @@ def _keys(values: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
 
 
 def _confirm(k: int, percent: int):
-    """Of the texts of one centre (``left``) and some of its partners (``right``), the true links on full sets. A text
-    counts only if its key is the one that was asked for, as rows may share an id."""
+    """Of the texts of one centre (``left``) and some of its partners (``right``), the true links on full sets. A node
+    has several texts where rows share an id; one that is alike will do."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        center, u, v = None, [], []
+        tops, u, v = [], [], []
         with np.errstate(over="ignore"):
             for batch in left.combine_chunks().to_batches():
                 for part in slices(batch, "text", 1 << 20):
                     values, off = shingle_sets(part.column("text"), k)
-                    same = np.flatnonzero(_keys(values, off)[0] == part.column("key").to_numpy())
-                    if len(same):
-                        center = values[off[same[0]] : off[same[0] + 1]]
-            for batch in right.combine_chunks().to_batches() if center is not None else ():
+                    tops += [values[off[i] : off[i + 1]] for i in range(part.num_rows)]
+            for batch in right.combine_chunks().to_batches():
                 for part in slices(batch, "text", 1 << 20):
                     values, off = shingle_sets(part.column("text"), k)
-                    own, keys, ids, tops = _keys(values, off)[0], part.column("key").to_numpy(), part.column("id").to_numpy(), part.column("c").to_numpy()
-                    for i in np.flatnonzero(own == keys):
-                        x = values[off[i] : off[i + 1]]
-                        both = len(np.intersect1d(x, center, assume_unique=True))
-                        if both and 100 * both >= percent * (len(x) + len(center) - both):
-                            u.append(min(ids[i], tops[i]))
-                            v.append(max(ids[i], tops[i]))
+                    ids, centers = part.column("id").to_numpy(), part.column("c").to_numpy()
+                    for i in range(part.num_rows):
+                        if _any_alike([values[off[i] : off[i + 1]]], tops, percent):
+                            u.append(min(ids[i], centers[i]))
+                            v.append(max(ids[i], centers[i]))
         return pa.table({"u": pa.array(np.array(u, np.int64)), "v": pa.array(np.array(v, np.int64))})
 
     return run
 
 
+def _any_alike(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> bool:
+    for x in a:
+        for y in b:
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if both and 100 * both >= percent * (len(x) + len(y) - both):
+                return True
+    return False
+
+
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with np.errstate(over="ignore"):
-            for batch in batches:
-                for part in slices(batch, "text"):
-                    values, off = shingle_sets(part.column("text"), k)
-                    whole = pa.RecordBatch.from_arrays([part.column("key"), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(values.view(np.int64)))], ["key", "set"])
-                    yield whole.filter(pa.array(_keys(values, off)[0] == part.column("key").to_numpy()))
+        for batch in batches:
+            for part in slices(batch, "text"):
+                values, off = shingle_sets(part.column("text"), k)
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(values.view(np.int64)))], ["id", "set"])
 
     return run
 
@@ -122,29 +125,26 @@ def _links(sets, percent: int, least: float):
     """Of one part of a bucket, the links between its strays and all its members of other components."""
 
     def run(group: pa.Table) -> pa.Table:
-        of, (keys, off, values) = {}, sets.value
+        of, (ids, off, values) = {}, sets.value
         stray = group.column("stray").to_numpy(zero_copy_only=False).astype(bool)
-        me, key, label, n = (group.column(c).to_numpy() for c in ("id", "h", "label", "n"))
-        mode, center = group.column("mode")[0].as_py(), group.column("ch")[0].as_py()
+        me, label, n = (group.column(c).to_numpy() for c in ("id", "label", "n"))
+        mode, center = group.column("mode")[0].as_py(), group.column("c")[0].as_py()
         bits = group.column("bits").combine_chunks().flatten().to_numpy().reshape(len(me), -1)
         every, u, v = np.flatnonzero(~stray), [], []
 
-        def get(x: int) -> np.ndarray:
+        def get(x: int) -> list[np.ndarray]:
             if x not in of:
-                at = int(np.searchsorted(keys, x))
-                of[x] = values[off[at] : off[at + 1]]
+                of[x] = [values[off[i] : off[i + 1]] for i in range(*np.searchsorted(ids, [x, x + 1]))]
             return of[x]
 
         for a in np.flatnonzero(stray):
-            if key[a] == center:
+            if me[a] == center:
                 continue
             far = np.bitwise_count(bits[every] ^ bits[a]).sum(axis=1)
-            ok = (label[every] != label[a]) & (key[every] != center) & ((label[every] == mode) | (me[a] < me[every])) & (1 - 2 * far / (BANDS * ROWS) >= least)
+            ok = (label[every] != label[a]) & (me[every] != center) & ((label[every] == mode) | (me[a] < me[every])) & (1 - 2 * far / (BANDS * ROWS) >= least)
             ok &= 100 * np.minimum(n[every], n[a]) >= percent * np.maximum(n[every], n[a])
             for b in every[ok]:
-                x, y = get(int(key[a])), get(int(key[b]))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
+                if _any_alike(get(int(me[a])), get(int(me[b])), percent):
                     u.append(min(me[a], me[b]))
                     v.append(max(me[a], me[b]))
         return pa.table({"u": pa.array(np.array(u, np.int64)), "v": pa.array(np.array(v, np.int64))})
@@ -159,11 +159,11 @@ def _alike(least: float, percent: int):
 
 
 def _across(left: DataFrame, percent: int, least: float) -> DataFrame:
-    """Candidate pairs (c, ch, id, h) of a bucket's strays with its members of other components."""
-    a = left.where("label <> mode").select("key", F.col("id").alias("u"), F.col("h").alias("uh"), F.col("label").alias("lu"), F.col("n").alias("nx"), F.col("bits").alias("x"))
-    b = left.select("key", F.col("id").alias("v"), F.col("h").alias("vh"), F.col("label").alias("lv"), "mode", "ch", F.col("n").alias("ny"), F.col("bits").alias("y"))
-    across = a.join(b, (a["key"] == b["key"]) & (F.col("lu") != F.col("lv")) & ((F.col("lv") == F.col("mode")) | (F.col("u") < F.col("v"))) & (F.col("uh") != F.col("ch")) & (F.col("vh") != F.col("ch")) & _alike(least, percent))
-    return across.select(F.col("u").alias("c"), F.col("uh").alias("ch"), F.col("v").alias("id"), F.col("vh").alias("h")).distinct()
+    """Candidate pairs (c, id) of a bucket's strays with its members of other components."""
+    a = left.where("label <> mode").select("key", F.col("id").alias("u"), F.col("label").alias("lu"), F.col("n").alias("nx"), F.col("bits").alias("x"))
+    b = left.select("key", F.col("id").alias("v"), F.col("label").alias("lv"), "mode", "c", F.col("n").alias("ny"), F.col("bits").alias("y"))
+    across = a.join(b, (a["key"] == b["key"]) & (F.col("lu") != F.col("lv")) & ((F.col("lv") == F.col("mode")) | (F.col("u") < F.col("v"))) & (F.col("u") != F.col("c")) & (F.col("v") != F.col("c")) & _alike(least, percent))
+    return across.select(F.col("u").alias("c"), F.col("v").alias("id")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, most: int = OPEN_BYTES) -> DataFrame:
@@ -175,82 +175,91 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = durable(docs.mapInArrow(_sketch(k), "id long, n long, s1 long, s2 long, bands array<long>, bits array<long>"))
     # only equal sets become one class; its smallest id stands for it. A partial aggregate, whatever the size of the class
     of_class = whole.where("n > 0 and id is not null").groupBy("s1", "s2", "n").agg(F.min("id").alias("id"), F.min_by(F.struct("bits", "bands"), "id").alias("x"))
-    reps = durable(of_class.select("id", F.col("s1").alias("h"), "s2", "n", "x.bits", "x.bands"))
+    reps = durable(of_class.select("id", "s1", "s2", "n", "x.bits", "x.bands"))
     sketch = durable(whole.select("id", "n", "s1", "s2"))
     discard(whole)
-    bits = durable(reps.select("id", "h", "s2", "n", "bits"))
+    bits = durable(reps.drop("bands"))
     # one exchange of the band keys; a text has one key in each band, so no key holds more than 1 / BANDS of the rows
-    spread = reps.select("id", "h", F.explode("bands").alias("key"))
+    spread = reps.select("id", F.explode("bands").alias("key"))
     met = durable(spread.withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1"))
     discard(reps)
     # a bucket's centre is its best met member: the text from which a group of near copies was made meets them all,
     # while two copies of it may be too far from each other
-    degree = met.groupBy("id", "h").agg(F.sum("size").alias("degree"))
-    best = met.join(degree, ["id", "h"]).groupBy("key").agg(F.max_by(F.struct(F.col("id").alias("c"), F.col("h").alias("ch")), F.struct("degree", -F.col("id"))).alias("x")).select("key", "x.c", "x.ch")
-    met = durable(met.join(best, "key"))
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """Of distinct candidate pairs (c, ch, id, h), the true links. A centre's text travels once for each ``PART`` of
-        its partners, theirs once for each centre."""
-        sizes = pairs.groupBy("c", "ch").agg(F.ceil(F.count("*") / PART).alias("parts"))
-        dealt = pairs.join(sizes, ["c", "ch"]).withColumn("part", F.pmod(F.xxhash64("id", "h"), F.col("parts")))
-        mine = dealt.join(named, "id").select("c", "ch", "part", "id", F.col("h").alias("key"), "text")
-        tops = sizes.select(F.col("c").alias("id"), F.col("ch").alias("key"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).join(named, "id")
-        tops = tops.select(F.col("id").alias("c"), F.col("key").alias("ch"), "part", "key", "text")
-        by = ["c", "ch", "part"]
+    degree = met.groupBy("id").agg(F.sum("size").alias("degree"))
+    best = met.join(degree, "id").groupBy("key").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("c"))
+    met, old = durable(met.join(best, "key")), met
+    discard(old)
+
+    def few(ids: DataFrame) -> DataFrame:
+        """The texts of some ids (id): these are broadcast up to ``most`` bytes, so that the other texts stay where they are."""
+        ids = durable(ids.distinct())
+        out = durable(named.join(F.broadcast(ids) if 16 * ids.count() <= most else ids, "id", "left_semi"))
+        discard(ids)
+        return out
+
+    def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        """Of distinct candidate pairs (c, id), the true links. A centre's text travels once for each ``PART`` of its
+        partners, theirs once for each centre."""
+        pairs = durable(pairs)
+        sizes = pairs.groupBy("c").agg(F.ceil(F.count("*") / PART).alias("parts"))
+        dealt = pairs.join(sizes, "c").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+        mine = dealt.join(texts, "id").select("c", "part", "id", "text")
+        tops = sizes.select(F.col("c").alias("id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).join(texts, "id").select(F.col("id").alias("c"), "part", "text")
         tops = tops.select(*[F.col(x).alias(x) for x in tops.columns])  # both sides come from the same table
         mine = mine.select(*[F.col(x).alias(x) for x in mine.columns])
-        return durable(tops.groupBy(*by).cogroup(mine.groupBy(*by)).applyInArrow(_confirm(k, percent), "u long, v long").where("u <> v").distinct())
+        out = durable(tops.groupBy("c", "part").cogroup(mine.groupBy("c", "part")).applyInArrow(_confirm(k, percent), "u long, v long").where("u <> v").distinct())
+        discard(pairs)
+        return out
 
-    def side(c: str, h: str, n: str, x: str) -> DataFrame:
-        return bits.select(F.col("id").alias(c), F.col("h").alias(h), F.col("n").alias(n), F.col("bits").alias(x))
+    def side(c: str, n: str, x: str) -> DataFrame:
+        return bits.select(F.col("id").alias(c), F.col("n").alias(n), F.col("bits").alias(x))
 
     # each member against its buckets' centres; one pair a text first, with the centre it meets most
-    stars = met.where("h <> ch or id <> c").groupBy("c", "ch", "id", "h").agg(F.count("*").alias("shared"))
-    stars = stars.join(side("c", "ch", "nx", "x"), ["c", "ch"]).join(side("id", "h", "ny", "y"), ["id", "h"])
-    stars = durable(stars.where(_alike(least, percent)).select("c", "ch", "id", "h", "shared"))
-    first = stars.groupBy("id", "h").agg(F.max_by(F.struct("c", "ch"), F.struct("shared", -F.col("c"))).alias("x")).select("x.c", "x.ch", "id", "h")
+    stars = met.where("id <> c").groupBy("c", "id").agg(F.count("*").alias("shared")).join(side("c", "nx", "x"), "c").join(side("id", "ny", "y"), "id")
+    stars = durable(stars.where(_alike(least, percent)).groupBy("c", "id").agg(F.max("shared").alias("shared")))
+    texts = few(stars.select(F.explode(F.array("c", "id")).alias("id")))
+    first = stars.groupBy("id").agg(F.max_by("c", F.struct("shared", -F.col("c"))).alias("c")).select("c", "id")
     # rows that share an id are one node, so an id of several texts links their classes
-    several = sketch.where("n > 0 and id is not null").select("id", "s1", "s2", "n").distinct().withColumn("c", F.count("*").over(Window.partitionBy("id"))).where("c > 1")
-    same = several.join(bits.select(F.col("id").alias("rep"), F.col("h").alias("s1"), "s2", "n"), ["s1", "s2", "n"]).select(F.least("id", "rep").alias("u"), F.greatest("id", "rep").alias("v")).where("u <> v").distinct()
-    links = durable(confirmed(first).unionByName(same).distinct())
+    several = sketch.where("n > 0 and id is not null").groupBy("id").agg(F.min(F.struct("s1", "s2", "n")).alias("a"), F.max(F.struct("s1", "s2", "n")).alias("b")).where("a <> b").select("id")
+    several = sketch.where("n > 0").join(several, "id", "left_semi").distinct()
+    same = several.join(bits.select(F.col("id").alias("rep"), "s1", "s2", "n"), ["s1", "s2", "n"]).select(F.least("id", "rep").alias("u"), F.greatest("id", "rep").alias("v")).where("u <> v").distinct()
+    links = durable(confirmed(first, texts).unionByName(same).distinct())
     labels = durable(components(links))
 
     def label(rows: DataFrame, c: str, name: str) -> DataFrame:
         return rows.join(labels.select(F.col("node").alias(f"_{name}"), F.col("label").alias(name)), F.col(c) == F.col(f"_{name}"), "left").withColumn(name, F.coalesce(name, c)).drop(f"_{name}")
 
     # then those that still cross components
-    rest = label(label(stars, "c", "lc"), "id", "li").where("lc <> li").select("c", "ch", "id", "h")
-    found = confirmed(rest)
+    found = confirmed(label(label(stars, "c", "lc"), "id", "li").where("lc <> li").select("c", "id"), texts)
     if found.head(1):
         links = durable(links.unionByName(found))
         labels = durable(components(links))
-    discard(stars)
+    discard(stars, texts)
     # then the rest: in buckets that still hold several components, every pair across components, so no link is lost.
     # Members of a bucket's largest component are paired with the others only, never with each other.
-    left = label(met.where("size > 2").select("key", "id", "h", "c", "ch"), "id", "label")
+    left = label(met.where("size > 2").select("key", "id", "c"), "id", "label")
     per = left.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("parts"), F.max_by("label", F.struct("n", "label")).alias("mode")).where("parts > 1").drop("parts")
-    left = durable(left.join(per, "key").join(bits.drop("s2"), ["id", "h"]).select("key", "id", "h", "ch", "label", "mode", "n", "bits"))
+    left = durable(left.join(per, "key").join(bits.select("id", "n", "bits"), "id").select("key", "id", "c", "label", "mode", "n", "bits"))
     discard(met)
-    open_ids = durable(left.select("id", F.col("h").alias("key"), "n").distinct())
-    if (open_ids.agg(F.sum("n")).first()[0] or 0) * 8 <= most:
-        got = named.join(open_ids, "id").select("key", "text").mapInArrow(_sets(k), "key long, set array<long>").toArrow()
-        order = np.argsort(got.column("key").to_numpy(), kind="stable")
+    texts = few(left.select("id"))
+    if (left.select("id", "n").distinct().agg(F.sum("n")).first()[0] or 0) * 8 <= most:
+        got = texts.mapInArrow(_sets(k), "id long, set array<long>").toArrow()
+        order = np.argsort(got.column("id").to_numpy(), kind="stable")
         lists = got.column("set").combine_chunks().take(pa.array(order))
-        sets = docs.sparkSession.sparkContext.broadcast((got.column("key").to_numpy()[order], lists.offsets.to_numpy(), lists.flatten().to_numpy().view(np.uint64)))
+        sets = docs.sparkSession.sparkContext.broadcast((got.column("id").to_numpy()[order], lists.offsets.to_numpy(), lists.flatten().to_numpy().view(np.uint64)))
         # a bucket's strays in parts of bounded size, each with all members of the bucket
         parts = left.groupBy("key").agg((F.floor(F.sum((F.col("label") != F.col("mode")).cast("int")) / PART) + 1).alias("parts"))
         dealt = left.join(parts, "key")
-        strays = dealt.where("label <> mode").withColumn("part", F.pmod(F.xxhash64("id", "h"), F.col("parts"))).withColumn("stray", F.lit(True))
+        strays = dealt.where("label <> mode").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).withColumn("stray", F.lit(True))
         alls = dealt.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumn("stray", F.lit(False))
-        every = strays.select(*(cols := ["key", "part", "stray", "id", "h", "label", "mode", "ch", "n", "bits"])).unionByName(alls.select(*cols))
+        every = strays.select(*(cols := ["key", "part", "stray", "id", "label", "mode", "c", "n", "bits"])).unionByName(alls.select(*cols))
         more = durable(every.groupBy("key", "part").applyInArrow(_links(sets, percent, least), "u long, v long").where("u <> v").distinct())
     else:
-        more = confirmed(durable(_across(left, percent, least)))
+        more = confirmed(_across(left, percent, least), texts)
     if more.head(1):
         labels = durable(components(links.unionByName(more)))
-    discard(left)
-    of = label(bits.select("id", "h", "s2", "n"), "id", "top").select(F.col("h").alias("t1"), F.col("s2").alias("t2"), F.col("n").alias("m"), "top")
+    discard(left, texts)
+    of = label(bits.drop("bits"), "id", "top").select(F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.col("n").alias("m"), "top")
     out = sketch.join(of, (F.col("s1") == F.col("t1")) & (F.col("s2") == F.col("t2")) & (F.col("n") == F.col("m")) & F.col("id").isNotNull(), "left")
     top = F.coalesce("top", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), top.alias("component_id"), F.coalesce(top == F.col("id"), F.lit(True)).alias("kept"))

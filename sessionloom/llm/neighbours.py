@@ -157,9 +157,9 @@ def _search(dim: int, k: int):
         held: tuple[int, ShardIndex] | None = None
         for frame in index:
             for row in frame.itertuples(index=False):
-                if held is None or held[0] != row.shard:
+                if held is None or held[0] != (row.shard, row.part):
                     vectors = np.frombuffer(row.vectors, np.float64).reshape(-1, dim)
-                    held = (row.shard, ShardIndex(vectors, [np.asarray(x) for x in row.ids], turn))
+                    held = ((row.shard, row.part), ShardIndex(vectors, [np.asarray(x) for x in row.ids], turn))
                 at = held[1]
                 queries = np.array([q["vector"] for q in row.queries])
                 out_q, out_v, out_s = [], [], []
@@ -174,7 +174,7 @@ def _search(dim: int, k: int):
     return run
 
 
-def nearest(table: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def nearest(table: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vec_col: str = "embedding", shard_points: int = SHARD_POINTS) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found of each row whose id is divisible by ``every``."""
     v = F.col("vector")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
@@ -190,7 +190,7 @@ def nearest(table: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
     top = rows.distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
     points = durable(top.groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids")))
     total = points.count()
-    shards = max(1, -(-total // SHARD_POINTS))
+    shards = max(1, -(-total // shard_points))
     turn = directions(dim)
     sample = points.where(F.pmod(F.xxhash64("vector"), F.lit(1_000_000)) < F.lit(min(1.0, SAMPLE / max(total, 1)) * 1_000_000)).select("vector").limit(2 * SAMPLE)
 
@@ -206,16 +206,18 @@ def nearest(table: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
             p = b.column(b.schema.get_field_index("vector")).flatten().to_numpy().reshape(-1, dim) @ turn
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells.home(p).astype(np.int32))], [*b.schema.names, "shard"])
 
-    # a shard is one row: its vectors as bytes, of about SHARD_POINTS distinct vectors; a cell that outgrew the sample's
-    # estimate becomes several rows
-    placed = points.mapInArrow(place, "vector array<double>, ids array<long>, shard int").withColumn("part", F.pmod(F.xxhash64("vector"), F.lit(1)))
+    # a shard is one row: its vectors as bytes. One that outgrew the sample's estimate becomes several, by its counted
+    # size, and a query meets each of them
+    placed = points.mapInArrow(place, "vector array<double>, ids array<long>, shard int")
+    sizes = placed.groupBy("shard").agg(F.ceil(F.count("*") / (2 * shard_points)).alias("parts"))
+    placed = placed.join(sizes, "shard").withColumn("part", F.pmod(F.xxhash64("vector"), F.col("parts")).cast("int")).select("vector", "ids", "shard", "part")
 
     def pack(key: tuple, part: pa.Table) -> pa.Table:
         flat = part.column("vector").combine_chunks().flatten().to_numpy()
         ids = part.column("ids").combine_chunks()
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "vectors": pa.array([flat.tobytes()], pa.binary()), "ids": pa.array([ids.to_pylist()], pa.list_(pa.list_(pa.int64())))})
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()), "vectors": pa.array([flat.tobytes()], pa.binary()), "ids": pa.array([ids.to_pylist()], pa.list_(pa.list_(pa.int64())))})
 
-    index = durable(placed.groupBy("shard", "part").applyInArrow(pack, "shard int, vectors binary, ids array<array<long>>"))
+    index = durable(placed.groupBy("shard", "part").applyInArrow(pack, "shard int, part int, vectors binary, ids array<array<long>>"))
     queries = rows.where(F.col("id") % every == 0).distinct()
     queries = durable(queries.select("vector", F.array("id").alias("ids")).mapInArrow(place, "vector array<double>, ids array<long>, shard int"))
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
@@ -223,7 +225,7 @@ def nearest(table: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
     def ask(asked: DataFrame) -> DataFrame:
         """asked: id, vector, shard, bound. Blocks of queries meet their shard's index row."""
         packed = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy("shard", "block").agg(F.collect_list(F.struct("id", "vector", "bound")).alias("queries"))
-        return packed.join(index, "shard").select("shard", "vectors", "ids", "queries").mapInPandas(_search(dim, k), "query_id long, vec_id long, d2 double")
+        return packed.join(index, "shard").select("shard", "part", "vectors", "ids", "queries").mapInPandas(_search(dim, k), "query_id long, vec_id long, d2 double")
 
     asked = queries.select(F.col("ids")[0].alias("id"), "vector", "shard")
     home = durable(ask(asked.withColumn("bound", F.lit(float("inf")))))

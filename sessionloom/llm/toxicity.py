@@ -81,7 +81,6 @@ def fit(values: np.ndarray, off: np.ndarray, toxic: np.ndarray) -> OrdinalModel
     gaps = np.log(np.diff(cuts)) if GRADES > 2 else np.zeros(0)
     params = [w, cuts[:1].copy(), gaps]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    level = grade[:, None] > np.arange(GRADES - 1)[None, :]
     for t in range(1, 401):
         t_j = params[1][0] + np.concatenate(([0.0], np.cumsum(np.exp(params[2]))))
         z = np.bincount(row, params[0][col], len(toxic))[:, None] - t_j[None, :]
@@ -103,7 +102,6 @@ def fit(values: np.ndarray, off: np.ndarray, toxic: np.ndarray) -> OrdinalModel
             m[j] += 0.1 * (d - m[j])
             v[j] += 0.01 * (d * d - v[j])
             q -= 0.05 * (m[j] / (1 - 0.9**t)) / (np.sqrt(v[j] / (1 - 0.99**t)) + 1e-8)
-    assert level.shape == z.shape
     cuts = params[1][0] + np.concatenate(([0.0], np.cumsum(np.exp(params[2]))))
     return OrdinalModel(keys[chosen], params[0], cuts)
 

@@ -2,11 +2,13 @@
 
 import re
 
+import duckdb
 import numpy as np
 import pytest
 
-from sessionloom.llm import minhash
+from sessionloom.llm import minhash, neighbours
 from sessionloom.llm.common import components
+from sessionloom.llm.queries import ORACLES, QUERIES
 
 RNG = np.random.default_rng(23)
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -77,3 +79,26 @@ def test_columns_of_any_name_and_repeated_rows(spark):
 def test_components_of_a_long_chain(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long")
     assert {r.label for r in components(e).collect()} == {0}
+
+
+def test_neighbours_over_many_shards(spark):
+    m = np.concatenate([RNG.normal(size=(500, 16)), RNG.normal(size=(300, 16)) * 0.01 + 3]).astype(np.float32)
+    rows = [(i, [float(x) for x in v], 5, 0) for i, v in enumerate(m)]
+    t = spark.createDataFrame([*rows, rows[10], (None, rows[1][1], 1, 1)], "vec_id long, embedding array<float>, shard int, part int")
+    hit, wide, n = 0, m.astype(float), 0
+    for r in neighbours.nearest(t, every=20, shard_points=60).toPandas().groupby("query_id"):
+        d = np.sqrt(((wide - wide[r[0]]) ** 2).sum(1))
+        want = [i for i in np.lexsort((np.arange(len(d)), d)) if i != r[0]][:10]
+        got = r[1].sort_values("rank")
+        assert np.allclose(got["score"], d[got["vec_id"]], atol=1e-12) and (np.diff(got["score"]) >= 0).all() and list(got["rank"]) == list(range(1, 11))
+        hit, n = hit + len(set(want) & set(got["vec_id"])), n + 10
+    assert n == 400 and hit >= 0.9 * n
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_queries_are_their_sql(spark, name):
+    d, c = "/root/testdata/sf0.001", duckdb.connect()
+    c.sql(f"create view documents as select * from '{d}/documents.parquet'")
+    got = QUERIES[name](spark, d).toPandas()
+    want = c.sql(ORACLES[name]).df()[got.columns]
+    assert sorted(map(tuple, got.to_numpy().tolist())) == sorted(map(tuple, want.to_numpy().tolist()))
