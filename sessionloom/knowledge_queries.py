@@ -344,7 +344,7 @@ def judgment_labels(spark, d):
 
 @query(GRAMS + ", u as (select gram event_id, ca, cn from counts where n = 1) select event_id, 'anomalous' status, ca support, ca cnt_anom, cn cnt_norm from u where ca > 0 and cn <= 1 union all select 'never', 'anomalous', 1, 0, 0")
 def discrete_patterns(spark, d):
-    u = _counts(spark, d).where("n = 1").select(F.col("gram").alias("event_id"), "ca", "cn")
+    u = _counts(spark, d, 1).select(F.col("gram").alias("event_id"), "ca", "cn")
     found = u.where("ca > 0 and cn <= 1").select("event_id", F.lit("anomalous").alias("status"), F.col("ca").alias("support"))
     long = u.select("event_id", F.explode(F.array(F.struct(F.lit(1).alias("label"), F.col("ca").alias("cnt")), F.struct(F.lit(0).alias("label"), F.col("cn").alias("cnt")))).alias("x")).select("event_id", "x.*")
     return KB.discrete_view(found.unionByName(_rows(spark, [("never", "anomalous", 1)], "event_id string, status string, support long")), long)

@@ -10,6 +10,10 @@ from ..functions.scalars import lift
 
 def ngram_counts(lines: DataFrame, longest: int = 3) -> DataFrame:
     """n, gram, ca, cn: overlapping n-grams of eids, counted in anomalous and in normal sessions."""
+    if longest == 1:  # no order is needed: a count for each session and event, then for each event
+        per = lines.groupBy("sk", "eid").agg(F.count("*").alias("c"))
+        y = lines.groupBy("sk").agg(F.max("anom").alias("label"))
+        return per.join(y, "sk").groupBy(F.lit(1).alias("n"), F.col("eid").alias("gram")).agg(F.sum(F.when(F.col("label") == 1, F.col("c")).otherwise(0)).alias("ca"), F.sum(F.when(F.col("label") == 0, F.col("c")).otherwise(0)).alias("cn"))
     w = Window.partitionBy("sk").orderBy("ts_sec", "line_id")
     rows = lines.withColumn("label", F.max("anom").over(Window.partitionBy("sk")))
     rows = rows.select("label", "eid", *[F.lead("eid", j).over(w).alias(f"e{j}") for j in range(1, longest)])

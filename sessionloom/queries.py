@@ -49,13 +49,13 @@ def _sessions(spark: SparkSession, d: str) -> DataFrame:
     return Q.sessions(events(spark, d))
 
 
-def _counts(spark: SparkSession, d: str) -> DataFrame:
-    return M.ngram_counts(events(spark, d))
+def _counts(spark: SparkSession, d: str, longest: int = 3) -> DataFrame:
+    return M.ngram_counts(events(spark, d), longest)
 
 
 @query(GRAMS + " select gram eid, ca, cn from counts where n = 1 and ca >= 10 and cn <= 1 order by ca desc, cn, gram limit 200")
 def disc_patterns(spark, d, least=10):
-    return M.discriminative(_counts(spark, d), least).select(F.col("gram").alias("eid"), "ca", "cn")
+    return M.discriminative(_counts(spark, d, 1), least).select(F.col("gram").alias("eid"), "ca", "cn")
 
 
 @query(LINES + " select line_id, host, ts_sec, eid, anom, sk from lines")
@@ -122,7 +122,7 @@ def ngram_counts(spark, d):
 
 @query(GRAMS + " select gram, ca, cn, round((ca + 1.0::double) / (cn + 1.0::double), 9) lift from counts where n = 1 and ca >= 2 and (ca + 1.0::double) / (cn + 1.0::double) >= 1.3 order by (ca + 1.0::double) / (cn + 1.0::double) desc, ca desc, n, gram limit 20")
 def unigram_lift(spark, d):
-    return M.by_lift(_counts(spark, d), (1,)).select("gram", "ca", "cn", F.round("lift", 9).alias("lift"))
+    return M.by_lift(_counts(spark, d, 1), (1,)).select("gram", "ca", "cn", F.round("lift", 9).alias("lift"))
 
 
 @query(GRAMS + " select n, gram, ca, cn, round((ca + 1.0::double) / (cn + 1.0::double), 9) lift from counts where n in (2, 3) and ca >= 2 and (ca + 1.0::double) / (cn + 1.0::double) >= 1.3 order by (ca + 1.0::double) / (cn + 1.0::double) desc, ca desc, n, gram limit 500")
@@ -137,7 +137,7 @@ def frequent_ngrams(spark, d):
 
 @query(GRAMS + " select gram eid, ca support from counts where n = 1 and ca > 0 and cn = 0")
 def anomalous_only(spark, d):
-    return _counts(spark, d).where("n = 1 and ca > 0 and cn = 0").select(F.col("gram").alias("eid"), F.col("ca").alias("support"))
+    return _counts(spark, d, 1).where("n = 1 and ca > 0 and cn = 0").select(F.col("gram").alias("eid"), F.col("ca").alias("support"))
 
 
 PHRASES = ["error_4", "error_5", "purchase_5", "click_5", "view_0 view_0", "signup_4"]
