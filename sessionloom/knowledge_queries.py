@@ -15,7 +15,7 @@ from .operators import rules as R
 from .operators import selection as L
 from .operators import sequences as Q
 from .operators import verdicts as V
-from .queries import FIRED, GRAMS, LINES, RULES, SCORES, SESS, WINDOWS, _counts, _legs, _scores, _sessions, _text, knn_cosine_table, query
+from .queries import FIRED, GRAMS, LINES, RULES, SCORES, SESS, WINDOWS, _counts, _legs, _scores, _sessions, _text, knn_cosine, query
 from .sources import kb as KB
 from .sources.logs import events
 
@@ -358,7 +358,7 @@ NEAR = "q as (select vec_id query_id, embedding e from embeddings where vec_id %
 @query("with " + NEAR + ", v as (select query_id, 'rule_' || cast(label % 4 as varchar) rule, count(*) votes from r join embeddings e on e.vec_id = r.vec_id where rank <= 5 group by all), t as (select *, row_number() over (partition by query_id order by votes desc, rule) n from v) select query_id, rule, votes, cast(n as int) rank from t where n <= 3")
 def neighbor_vote(spark, d):
     rules = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("key"), F.concat(F.lit("rule_"), (F.col("label") % 4).cast("string")).alias("rule"))
-    return K.neighbour_rules(knn_cosine_table(spark, d).select("query_id", F.col("vec_id").alias("key")), rules)
+    return K.neighbour_rules(knn_cosine(spark, d).select("query_id", F.col("vec_id").alias("key")), rules)
 
 
 MEMBERS = SESS + """, mem as (select session_id, event_seq[1] % 3 cluster, len(event_seq) / 100 strength from sess where label = 1),

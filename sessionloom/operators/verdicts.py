@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import cosine, safe_ratio
+from ..functions.scalars import safe_ratio
 
 
 def to_session(w: DataFrame, policy: str = "mean", th: float = 0.5, k: int = 1) -> DataFrame:
@@ -82,12 +82,6 @@ def tfidf(rows: DataFrame) -> DataFrame:
     return raw.withColumn("tfidf", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("session_id")))).select("session_id", "term", "tfidf")
 
 
-def knn_cosine(queries: DataFrame, table: DataFrame, k: int) -> DataFrame:
-    """A fixed small query set (query_id, q) against all rows (vec_id, embedding)."""
-    near = table.join(F.broadcast(queries), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", cosine(F.col("q"), F.col("embedding")).alias("similarity"))
-    return near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))).where(F.col("rank") <= k)
-
-
 def _nearest(ids: np.ndarray, q: np.ndarray, k: int):
     """The k rows nearest to each query among each slice of rows; sums run over the dimensions in order, so equal vectors tie."""
     q = q / np.sqrt((q * q).sum(1))[:, None]
@@ -116,7 +110,8 @@ def _nearest(ids: np.ndarray, q: np.ndarray, k: int):
 
 
 def knn_cosine_blocks(queries: DataFrame, table: DataFrame, k: int, block: int = 1024) -> DataFrame:
-    """As ``knn_cosine`` for a query set that grows with the table: about ``block`` queries at a time against all rows.
+    """query_id, vec_id, similarity, rank of the k rows (vec_id, embedding) most like each query (query_id, q) by cosine,
+    for a query set that grows with the table: about ``block`` queries at a time against all rows.
     Null vectors, and those with nulls, NaN or of length zero, take no part."""
 
     def whole(df: DataFrame, c: str) -> DataFrame:
