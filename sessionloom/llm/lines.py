@@ -8,9 +8,10 @@ Lines that meet there pass the length and the positional filter, and are verifie
 text. A line similar to an earlier one (by id and line number) is removed.
 
 Skew: equal lines are one class, found by a partial aggregate; only its first occurrence gets tokens, so a line that
-stands in a third of all rows is one row of each list. Each class first meets one other only, the earliest of its lists
-(a very common token's list is dealt to several tasks, by the token's level); what this doesn't settle then meets all
-earlier ones, so the answer is exact and a group of near copies costs one pair a line, not all pairs.
+stands in a third of all rows is one row of each list. Each class first meets one other only: of the earliest lines of its
+lists, the one it shares most with (a very common token's list is dealt to several tasks, by the token's level). What this
+doesn't settle then meets all earlier ones, so the answer is exact and a group of near copies costs one pair a line, not
+all pairs; only pairs that share enough of their prefixes are verified.
 
 Defined results: lines without words take no part and stay, and with ``short`` false so do those of fewer than ``K``
 words; null texts have no lines; an exact copy of a line at the same id and number (a repeated row) is the same
