@@ -1,17 +1,20 @@
 """Line dedup by an exact set-similarity join, in DataFrame functions alone.
 
 A line's tokens are its distinct word shingles (``K`` words, lower-cased; a shorter line has its whole word sequence as
-its one token), as 64-bit hashes. They are ordered by rarity: all tokens of all texts are counted in ``CELLS`` hash cells,
-and a token whose cell is fuller than most comes later, the fuller the later; within a level the hash decides. Two sets of
-Jaccard similarity ``PERCENT``/100 or more share a token in their prefixes of n - ceil(n * PERCENT / 100) + 1 tokens.
-Lines that meet there pass the length and the positional filter, and are verified on the full sets, made anew from the
-text. A line similar to an earlier one (by id and line number) is removed.
+its one token), as 64-bit hashes. Two sets of Jaccard similarity ``PERCENT``/100 or more share a token in their prefixes
+of n - ceil(n * PERCENT / 100) + 1 tokens, in any one order. Lines first meet in the order of the hashes. Only a line with
+a token that over ``CROWD`` lines have in their prefixes meets the others of that kind once more, by rarity: their tokens
+are counted in ``CELLS`` hash cells, and a token whose cell is fuller than most comes later, the fuller the later. (Of two
+similar lines, one without such a token has met the other: their first common token is in its prefix.) The join itself
+makes only pairs that pass the positional filter and a bound on the difference of their sets, told by 64 bits: which of
+64 classes of tokens a line has an odd number of. These are verified on the full sets, made anew from the text. A line
+similar to an earlier one (by id and line number) is removed.
 
 Skew: equal lines are one class, found by a partial aggregate; only its first occurrence gets tokens, so a line that
 stands in a third of all rows is one row of each list. Each class first meets one other only: of the earliest lines of its
 lists, the one it shares most with (a very common token's list is dealt to several tasks, by the token's level). What this
 doesn't settle then meets all earlier ones, so the answer is exact and a group of near copies costs one pair a line, not
-all pairs; only pairs that share enough of their prefixes are verified.
+all pairs.
 
 Defined results: lines without words take no part and stay, and with ``short`` false so do those of fewer than ``K``
 words; null texts have no lines; an exact copy of a line at the same id and number (a repeated row) is the same
@@ -33,6 +36,8 @@ K, PERCENT, CELLS, BROADCAST_ROWS = 5, 80, 65_536, 500_000
 COMMON, LEVELS = 1.25, 127
 #: Lists of tokens in cells of more lines than this are dealt to several tasks.
 LIST_ROWS = 1 << 17
+#: Lists of more lines than this, by hash alone, are settled by rarity.
+CROWD = 1024
 
 # Arrays are opened by the outer forms, though none is empty: for the others the optimizer infers a filter on the size of
 # the array, and makes the array twice.
@@ -111,6 +116,35 @@ def _need(a: Column, b: Column) -> Column:
     return F.ceil((a + b) * PERCENT / F.lit(100.0 + PERCENT) - F.lit(1e-9))
 
 
+def _listed(lines: DataFrame, levels: np.ndarray, mean: float) -> DataFrame:
+    """Of lines (id, line, hashes), the rows of the lists that have company: token, dealt (to several tasks), size (of
+    the list or part), x (the line: at, n, pos, odd) and top (the earliest of the list or part)."""
+    sets = lines.select("id", "line", _tokens(levels).alias("tokens"))
+    n = F.size("tokens")
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
+    odd = F.aggregate("tokens", F.lit(0).cast("long"), lambda bits, t: bits.bitwiseXOR(bit(t)))
+    sets = sets.select("id", "line", n.alias("n"), F.slice("tokens", F.lit(1), _prefix(n)).alias("prefix"), odd.alias("odd"))
+    rows = sets.select("id", "line", "n", "odd", F.posexplode_outer("prefix").alias("pos", "token"))
+    fullest = F.lit(COMMON * mean) * F.pow(F.lit(2.0), F.shiftright("token", 56) / 4.0)
+    parts = F.when(F.shiftright("token", 56) > 0, F.ceil(fullest / LIST_ROWS)).otherwise(F.lit(1).cast("long"))
+    part = F.when(parts > 1, F.pmod(F.xxhash64("id", "line"), parts)).otherwise(F.lit(0).cast("long"))
+    if not levels.any():
+        parts = part = F.lit(1).cast("long")
+    # one exchange; a line has each token once, so a list holds at most one row of each class
+    rows = rows.select("token", part.alias("part"), "id", "line", "n", "pos", "odd")
+    of, x = Window.partitionBy("token", "part"), F.struct(F.struct("id", "line").alias("at"), "n", "pos", "odd")
+    listed = rows.withColumn("size", F.count("*").over(of)).withColumn("top", F.min(x).over(of)).where((F.col("size") > 1) | (parts > 1))
+    return listed.select("token", (parts > 1).alias("dealt"), "size", x.alias("x"), "top")
+
+
+def _may(x: Column, y: Column) -> Column:
+    """Whether lines that share a token may be similar, x before y, and that token the first they share: in each, as many
+    tokens as they need follow it; and no more bits of odd count differ than tokens may."""
+    need = _need(x["n"], y["n"])
+    first = (x["pos"] + need <= x["n"]) & (y["pos"] + need <= y["n"])
+    return (x["at"] < y["at"]) & first & (F.bit_count(x["odd"].bitwiseXOR(y["odd"])) + 2 * need <= x["n"] + y["n"])
+
+
 def _by_id(spots: DataFrame) -> DataFrame:
     """id, at (its line numbers, ascending). The line numbers of one text are bounded by it."""
     return durable(spots.groupBy("id").agg(F.sort_array(F.collect_set("line")).alias("at")))
@@ -122,8 +156,9 @@ def _bounded(by_id: DataFrame, most: int) -> DataFrame:
     return F.broadcast(by_id) if n <= most and m <= 5 * most else by_id
 
 
-def removed_lines(docs: DataFrame, short: bool = False, most: int = BROADCAST_ROWS) -> DataFrame:
-    """(id, line) of every line of ``docs`` (id, text) that goes. ``most`` bounds what is broadcast; results don't depend on it."""
+def removed_lines(docs: DataFrame, short: bool = False, most: int = BROADCAST_ROWS, crowd: int = CROWD) -> DataFrame:
+    """(id, line) of every line of ``docs`` (id, text) that goes. ``most`` bounds what is broadcast, and lines with a token
+    of a list of over ``crowd`` meet by rarity; results depend on neither."""
     docs = docs.where("id is not null and text is not null").select("id", "text")
     # two keys of 64 bits tell a class: among 10^12 different lines two share both with a probability below 10^-14
     spots = durable(_lines(docs, short).select("id", "line", F.xxhash64("raw").alias("k1"), F.xxhash64(F.lit(1), "raw").alias("k2")))
@@ -136,32 +171,12 @@ def removed_lines(docs: DataFrame, short: bool = False, most: int = BROADCAST_RO
     others = docs.join(_bounded(skipped, most), "id", "left")
     each = others.select("id", "at", F.posexplode_outer(F.split(F.lower("text"), "\n")).alias("line", "raw")).where(F.col("at").isNull() | ~F.array_contains("at", F.col("line")))
     lines = _hashed(each.where(F.btrim("raw", F.lit(" " + _OTHER_SPACE)) != "" if short else F.col("raw").rlike(ENOUGH)))
-    levels, mean = _levels(lines)
-    sets = lines.select("id", "line", _tokens(levels).alias("tokens"))
-    n = F.size("tokens")
-    sets = sets.select("id", "line", n.alias("n"), F.slice("tokens", F.lit(1), _prefix(n)).alias("prefix"))
-    rows = sets.select("id", "line", "n", F.posexplode_outer("prefix").alias("pos", "token"))
-    fullest = F.lit(COMMON * mean) * F.pow(F.lit(2.0), F.shiftright("token", 56) / 4.0)
-    parts = F.when(F.shiftright("token", 56) > 0, F.ceil(fullest / LIST_ROWS)).otherwise(F.lit(1).cast("long"))
-    part = F.when(parts > 1, F.pmod(F.xxhash64("id", "line"), parts)).otherwise(F.lit(0).cast("long"))
-    # one exchange; a line has each token once, so a list holds at most one row of each class
-    rows = rows.select("token", part.alias("part"), "id", "line", "n", "pos")
-    of, x = Window.partitionBy("token", "part"), F.struct(F.struct("id", "line").alias("at"), "n", "pos")
-    listed = rows.withColumn("size", F.count("*").over(of)).withColumn("top", F.min(x).over(of)).where((F.col("size") > 1) | (parts > 1))
-    multi = durable(listed.select("token", (parts > 1).alias("dealt"), x.alias("x"), "top"))
+    multi = durable(_listed(lines, np.zeros(CELLS, np.int16), 0.0))
 
     def met(pairs: DataFrame) -> DataFrame:
-        """Of rows (x, y) that share a token, the pairs (x_at, y_at, common) that may be similar, the earlier line first.
-        Tokens have one order, so two lines have no more in common than what they share of their prefixes and, of the
-        line whose prefix ends first, the rest; nor more than what follows the last token they share there."""
-        x, y = F.col("x"), F.col("y")
-        ok = (x["at"] < y["at"]) & (100 * x["n"] >= PERCENT * y["n"]) & (100 * y["n"] >= PERCENT * x["n"])
-        low, high = F.min, F.max
-        each = pairs.where(ok).groupBy(x["at"].alias("x_at"), y["at"].alias("y_at")).agg(F.count("*").alias("common"), *[f(c[k]).alias(n) for n, f, c, k in (("nx", low, x, "n"), ("ny", low, y, "n"), ("fx", low, x, "pos"), ("fy", low, y, "pos"), ("lx", high, x, "pos"), ("ly", high, y, "pos"))])
-        nx, ny = F.col("nx"), F.col("ny")
-        rest = F.least(F.greatest(nx - _prefix(nx), ny - _prefix(ny)), nx - 1 - F.col("lx"), ny - 1 - F.col("ly"))
-        most = F.least(F.col("common") + rest, nx - F.col("fx"), ny - F.col("fy"))
-        return each.where(most >= _need(nx, ny)).select("x_at", "y_at", "common")
+        """Of rows (x, y) that share a token, the pairs (x_at, y_at) that may be similar, the earlier line first, and by
+        how many tokens they met."""
+        return pairs.where(_may(F.col("x"), F.col("y"))).groupBy(F.col("x.at").alias("x_at"), F.col("y.at").alias("y_at")).agg(F.count("*").alias("common"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Of distinct pairs, the later line (at) of those that are similar, on full sets made anew from the text."""
@@ -178,14 +193,27 @@ def removed_lines(docs: DataFrame, short: bool = False, most: int = BROADCAST_RO
         discard(pairs, wanted, full)
         return out
 
-    # of the earliest lines of its lists, a line meets the one it shares most tokens with: one pair a line
-    tops = met(multi.select(F.col("top").alias("x"), F.col("x").alias("y")))
-    late = verified(tops.groupBy("y_at").agg(F.max_by("x_at", "common").alias("x_at")))
-    # what that did not settle meets all that come before it in any of its lists
-    open_ = multi.where("x.at > top.at or dealt").select("token", F.col("x").alias("y")).join(late, F.col("y.at") == F.col("at"), "left_anti")
-    late = late.unionByName(verified(met(open_.join(multi.select("token", "x"), "token")).select("x_at", "y_at")))
+    def later(multi: DataFrame) -> DataFrame:
+        """The lines (at) that are similar to an earlier one of their lists."""
+        # of the earliest lines of its lists, a line meets the one it shares most tokens with: one pair a line
+        tops = met(multi.select(F.col("top").alias("x"), F.col("x").alias("y")))
+        late = verified(tops.groupBy("y_at").agg(F.max_by("x_at", "common").alias("x_at")))
+        # what that did not settle meets all that come before it in any of its lists
+        open_ = multi.where("x.at > top.at or dealt").select("token", F.col("x").alias("y")).join(late, F.col("y.at") == F.col("at"), "left_anti")
+        return late.unionByName(verified(met(open_.join(multi.select("token", "x"), "token")).select("x_at", "y_at")))
+
+    late = later(multi.where(F.col("size") <= crowd))
+    # of two similar lines that have met in no such list, each has a token of a longer one
+    crowded = _by_id(multi.where(F.col("size") > crowd).select("x.at.id", "x.at.line").distinct())
+    discard(multi)
+    if not crowded.isEmpty():
+        some = docs.join(_bounded(crowded, most), "id").select("id", "at", F.posexplode_outer(F.split(F.lower("text"), "\n")).alias("line", "raw")).where(F.array_contains("at", F.col("line")))
+        some = _hashed(some).dropDuplicates(["id", "line"])
+        multi = durable(_listed(some, *_levels(some)))
+        late = late.unionByName(later(multi))
+        discard(multi)
     gone = durable(late.select("at.id", "at.line").unionByName(copies).distinct())
-    discard(multi, copies, skipped)
+    discard(copies, skipped, crowded)
     return gone
 
 
