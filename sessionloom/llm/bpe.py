@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import returning
+
 CACHE, SHORT = 500_000, 48
 
 
@@ -186,6 +188,10 @@ class BytePairCodec:
                 got[k] = raw
         return got
 
+    def forget(self) -> None:
+        """Empties the caches; a task fills them again in its first texts."""
+        self.names, self.raw, self.fits = {}, {}, {}
+
     def decode(self, ids) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
 
@@ -216,8 +222,9 @@ def _encode(path: str, pattern: str):
                 part = batch.slice(at, 256)
                 got = [c.digest(t.as_py() or "") for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.string()), pa.array([g[2] for g in got], pa.string())], ["id", "n", "a", "b"])
+        c.forget()
 
-    return run
+    return returning(run)
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -234,8 +241,9 @@ def _ids(path: str, pattern: str):
                 part = batch.slice(at, 256)
                 ids = [c.encode(t.as_py() or "") for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([c.decode(x) for x in ids], pa.binary())], ["id", "ids", "decoded"])
+        c.forget()
 
-    return run
+    return returning(run)
 
 
 def token_ids(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

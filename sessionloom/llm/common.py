@@ -7,9 +7,11 @@ The text kernels work on the bytes of a whole Arrow column with numpy, so no Pyt
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +74,31 @@ def discard(*tables: DataFrame) -> None:
     tables[0].sparkSession._jvm.System.gc()
 
 
+# ---------------------------------------------------------------- workers
+
+
+def give_back() -> None:
+    """Hand what this process no longer uses back to the system: allocators keep it otherwise."""
+    _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc alone has it
+        trim(0)
+
+
+def returning(run):
+    """``run``, a map over the batches of a task, which gives memory back at the task's end: Spark keeps its worker idle
+    beside the JVM while stages without Python run, with all that it holds."""
+
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
 # ---------------------------------------------------------------- text kernels
 
 

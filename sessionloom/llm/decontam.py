@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import returning
+
 SEED, LEAST, BLOCK_CHARS = 4, 0.5, 8 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 _BREAKS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -137,6 +139,16 @@ def _aligned(seeds: Seeds):
     return run
 
 
+def _met(seeds: Seeds):
+    """Passages and their alignment in one worker: two maps in a row would hold two for each task, and the seeds twice."""
+    passages, aligned = _passages(seeds), _aligned(seeds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return aligned(passages(batches))
+
+    return returning(run)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 1) -> DataFrame:
     """(doc_id, item_id, score) of every document and item that a passage aligns with, at a score of ``LEAST`` or more;
     the score is 1 for a whole verbatim copy. Items of fewer than ``least_words`` words take no part: a text that holds
@@ -149,8 +161,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         seeds = Seeds([(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id", "text").collect() if len(normalised(r["text"]).split()) >= least_words])
         if not seeds.names:
             continue
-        passages = rows.mapInArrow(_passages(seeds), "id long, seeds array<int>, words string")
-        found.append(passages.mapInArrow(_aligned(seeds), "doc_id long, item_id long, score double"))
+        found.append(rows.mapInArrow(_met(seeds), "doc_id long, item_id long, score double"))
     if not found:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double")
     return reduce(DataFrame.unionByName, found).groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))

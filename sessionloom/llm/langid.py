@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8
+from .common import returning, slices, utf8
 
 WIDTHS, FILTERS, WINDOW = (2, 3, 4), 8, 128
 UNKNOWN = "und"
@@ -157,10 +157,9 @@ _LETTER = r"\p{L}"
 def predicted(text: Column, net: ByteConvNet | None) -> Column:
     """A struct (lang_pred, score) of a text: of a row, only the text leaves the JVM."""
 
-    def run(column: pa.Array) -> pa.Array:
-        batch = pa.RecordBatch.from_arrays([column.cast(pa.string())], ["text"])
-        parts = [out.select(["lang_pred", "score"]).to_struct_array() for out in _predict(net)(iter([batch]))]
-        return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("lang_pred", pa.string()), ("score", pa.float64())]))
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for out in _predict(net)(pa.RecordBatch.from_arrays([c.cast(pa.string())], ["text"]) for c in columns):
+            yield out.select(["lang_pred", "score"]).to_struct_array()
 
     # else the optimizer would compute it once for a filter and once more for its columns
     return F.arrow_udf(run, "struct<lang_pred:string,score:double>").asNondeterministic()(text)
@@ -181,7 +180,7 @@ def _predict(net: ByteConvNet | None):
                     score = np.where(letters, np.minimum(p[np.arange(len(best)), best], 1.0), 0.0)
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(part.num_columns)), pa.array(lang, pa.string()), pa.array(score)], [*part.schema.names, "lang_pred", "score"])
 
-    return run
+    return returning(run)
 
 
 def predict(rows: DataFrame, net: ByteConvNet | None) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, discard, durable, mix, shingle_sets, slices, utf8
+from .common import components, discard, durable, mix, returning, shingle_sets, slices, utf8
 
 #: 64 bands of 8 minima: a pair of similarity 0.8 meets in no band with probability (1 - 0.8**8)**64 < 1e-5, one of
 #: similarity 0.1 in some band with probability below 1e-6.
@@ -69,7 +69,7 @@ def _sketch(k: int):
                 lists = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(np.ascontiguousarray(m).ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(keys[0]), pa.array(keys[1]), lists(bands), lists(bits)], ["id", "n", "s1", "s2", "bands", "bits"])
 
-    return run
+    return returning(run)
 
 
 def _keys(values: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
@@ -118,7 +118,7 @@ def _sets(k: int):
                 values, off = shingle_sets(part.column("text"), k)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(values.view(np.int64)))], ["id", "set"])
 
-    return run
+    return returning(run)
 
 
 def _links(sets, percent: int, least: float):
