@@ -95,7 +95,8 @@ def _levels(lines: DataFrame) -> tuple[np.ndarray, float]:
 
 
 def _tokens(levels: np.ndarray) -> Column:
-    """The distinct shingles in the order of rarity: 7 bits of level, then 56 of the hash."""
+    """The distinct shingles in the order of their hashes or, with ``levels``, of rarity: 7 bits of level, then 56 of the
+    hash."""
     table = F.split(F.lit(",".join(map(str, levels.tolist()))), ",").cast("array<int>")  # folded to one constant
 
     def token(h: Column) -> Column:
@@ -103,7 +104,7 @@ def _tokens(levels: np.ndarray) -> Column:
         return F.shiftleft(level, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
     every = F.transform(_begins(), _shingle)
-    return F.sort_array(F.array_distinct(F.transform(every, token) if levels.any() else F.transform(every, lambda h: F.shiftrightunsigned(h, 8))))
+    return F.sort_array(F.array_distinct(F.transform(every, token) if levels.any() else every))
 
 
 def _prefix(n: Column) -> Column:
@@ -125,15 +126,16 @@ def _listed(lines: DataFrame, levels: np.ndarray, mean: float) -> DataFrame:
     odd = F.aggregate("tokens", F.lit(0).cast("long"), lambda bits, t: bits.bitwiseXOR(bit(t)))
     sets = sets.select("id", "line", n.alias("n"), F.slice("tokens", F.lit(1), _prefix(n)).alias("prefix"), odd.alias("odd"))
     rows = sets.select("id", "line", "n", "odd", F.posexplode_outer("prefix").alias("pos", "token"))
-    fullest = F.lit(COMMON * mean) * F.pow(F.lit(2.0), F.shiftright("token", 56) / 4.0)
-    parts = F.when(F.shiftright("token", 56) > 0, F.ceil(fullest / LIST_ROWS)).otherwise(F.lit(1).cast("long"))
-    part = F.when(parts > 1, F.pmod(F.xxhash64("id", "line"), parts)).otherwise(F.lit(0).cast("long"))
-    if not levels.any():
-        parts = part = F.lit(1).cast("long")
-    # one exchange; a line has each token once, so a list holds at most one row of each class
-    rows = rows.select("token", part.alias("part"), "id", "line", "n", "pos", "odd")
-    of, x = Window.partitionBy("token", "part"), F.struct(F.struct("id", "line").alias("at"), "n", "pos", "odd")
-    listed = rows.withColumn("size", F.count("*").over(of)).withColumn("top", F.min(x).over(of)).where((F.col("size") > 1) | (parts > 1))
+    rows = rows.select("token", "id", "line", "n", "pos", "odd")
+    key, parts = ["token"], F.lit(1).cast("long")
+    if levels.any():
+        fullest = F.lit(COMMON * mean) * F.pow(F.lit(2.0), F.shiftright("token", 56) / 4.0)
+        parts = F.when(F.shiftright("token", 56) > 0, F.ceil(fullest / LIST_ROWS)).otherwise(parts)
+        key, rows = ["token", "part"], rows.withColumn("part", F.when(parts > 1, F.pmod(F.xxhash64("id", "line"), parts)).otherwise(F.lit(0).cast("long")))
+    # one exchange; a line has each token once, so a list holds at most one row of each class. Most lists hold one row: they
+    # are counted and left out before anything is compared (a sort by one long needs no comparisons either)
+    of, x = Window.partitionBy(*key), F.struct(F.struct("id", "line").alias("at"), "n", "pos", "odd")
+    listed = rows.withColumn("size", F.count("*").over(of)).where((F.col("size") > 1) | (parts > 1)).withColumn("top", F.min(x).over(of))
     return listed.select("token", (parts > 1).alias("dealt"), "size", x.alias("x"), "top")
 
 
@@ -202,18 +204,19 @@ def removed_lines(docs: DataFrame, short: bool = False, most: int = BROADCAST_RO
         open_ = multi.where("x.at > top.at or dealt").select("token", F.col("x").alias("y")).join(late, F.col("y.at") == F.col("at"), "left_anti")
         return late.unionByName(verified(met(open_.join(multi.select("token", "x"), "token")).select("x_at", "y_at")))
 
-    late = later(multi.where(F.col("size") <= crowd))
-    # of two similar lines that have met in no such list, each has a token of a longer one
+    # of two similar lines that meet in no shorter list, each has a token of a longer one
     crowded = _by_id(multi.where(F.col("size") > crowd).select("x.at.id", "x.at.line").distinct())
-    discard(multi)
+    lists, own = multi, []
     if not crowded.isEmpty():
         some = docs.join(_bounded(crowded, most), "id").select("id", "at", F.posexplode_outer(F.split(F.lower("text"), "\n")).alias("line", "raw")).where(F.array_contains("at", F.col("line")))
-        some = _hashed(some).dropDuplicates(["id", "line"])
-        multi = durable(_listed(some, *_levels(some)))
-        late = late.unionByName(later(multi))
-        discard(multi)
+        some = durable(_hashed(some).dropDuplicates())
+        rare = durable(_listed(some, *_levels(some)))
+        # settled together, so the texts are read for both at once; a token of one kind that equals one of the other only
+        # adds pairs to verify
+        lists, own = multi.where(F.col("size") <= crowd).unionByName(rare), [some, rare]
+    late = later(lists)
     gone = durable(late.select("at.id", "at.line").unionByName(copies).distinct())
-    discard(copies, skipped, crowded)
+    discard(multi, copies, skipped, crowded, *own)
     return gone
 
 
@@ -228,7 +231,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = _by_id(removed_lines(docs.select(key, text), short, most))
     rows = docs.select(F.struct(*[c for c in docs.columns if c.lower() not in own]).alias("row"), key, text)
     out = rows.join(_bounded(gone, most), "id", "left")
-    parts = F.split("text", "\n")
-    kept = F.when(F.col("at").isNull(), F.col("text")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("at", i)), "\n"))
-    removed = F.when(F.col("at").isNull(), 0).otherwise(F.size(F.filter("at", lambda i: i < F.size(parts))))
-    return out.select("row.*", kept.alias("kept_text"), F.coalesce(F.when(F.col("text").isNotNull(), F.size(parts)), F.lit(0)).alias("n_lines"), F.when(F.col("text").isNull(), 0).otherwise(removed).alias("n_removed"))
+    out = out.withColumn("parts", F.split("text", "\n"))  # made once a row
+    kept = F.when(F.col("at").isNull(), F.col("text")).otherwise(F.array_join(F.filter("parts", lambda x, i: ~F.array_contains("at", i)), "\n"))
+    removed = F.when(F.col("at").isNull(), 0).otherwise(F.size(F.filter("at", lambda i: i < F.size("parts"))))
+    return out.select("row.*", kept.alias("kept_text"), F.coalesce(F.when(F.col("text").isNotNull(), F.size("parts")), F.lit(0)).alias("n_lines"), F.when(F.col("text").isNull(), 0).otherwise(removed).alias("n_removed"))

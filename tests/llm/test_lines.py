@@ -59,3 +59,18 @@ def test_lines_of_common_passages_make_few_pairs(spark):
     since = spark._jsparkSession.sharedState().statusStore().executionsList().size()
     lines.removed_lines(spark.createDataFrame(rows, "id long, text string"), short=True).count()
     assert joined(spark, since) < 10 * len(rows)
+
+
+def test_crowded_and_other_lines_are_verified_in_the_same_passes(spark, tmp_path):
+    base = mixed(30)
+    rows = [(i, b) for i, b in enumerate([*base, *[f"{b} tail" for b in base[:10]]])]
+    spark.createDataFrame(rows, "id long, text string").coalesce(1).write.parquet(str(tmp_path / "docs"))
+    store = spark._jsparkSession.sharedState().statusStore()
+    since, passes = store.executionsList().size(), 0
+    gone = lines.removed_lines(spark.read.parquet(str(tmp_path / "docs")), short=True, crowd=2).collect()
+    assert {r.id for r in gone} == set(range(30, 40))
+    runs = store.executionsList()
+    for k in range(since, runs.size()):
+        nodes = store.planGraph(runs.apply(k).executionId()).allNodes()
+        passes += sum(str(tmp_path) in nodes.apply(i).desc() for i in range(nodes.size()) if "Scan parquet" in nodes.apply(i).name())
+    assert 4 <= passes <= 5  # keys, tokens, crowded lines, and two of the lines of pairs
